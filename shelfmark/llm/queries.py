@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cooccurrence, distinctive, groups
+from shelfmark.llm import cooccurrence, distinctive, encode, groups, packing, survivors
 from shelfmark.sources.tables import current, table
 
 QUERIES: dict = {}
@@ -110,3 +110,35 @@ def p6_counts(spark, folder):
     """Fresh counts of all tags of the vocabulary."""
     fresh = cooccurrence.item_counts(_baskets(spark, folder)).select(F.col("item").alias("tag_id"), F.col("n1"))
     return table(spark, folder, "tag_vocabulary").where("tag_id is not null").select("tag_id").join(fresh, "tag_id", "left").select("tag_id", F.coalesce("n1", F.lit(0)).alias("tag_count"))
+
+
+# --- 2: survivors
+def _survivors(spark, folder):
+    records = current(table(spark, folder, "seda_dataset"), "id", "canonical_id", "harvested_at", *survivors.FIELDS)
+    return survivors.survivors(records, table(spark, folder, "source_status"))
+
+
+@query()
+def p2_found(spark, folder):
+    """(canonical_id, field_name, id): the record whose value survives."""
+    return _survivors(spark, folder).select(F.col("group").alias("canonical_id"), F.col("field").alias("field_name"), "id")
+
+
+@query()
+def p2_consensus(spark, folder):
+    """The existing value closest to each group's consensus, and its distance from the survivor."""
+    return _survivors(spark, folder).select(F.col("group").alias("canonical_id"), F.col("field").alias("field_name"), F.col("nearest").alias("id"), "distance")
+
+
+# --- 8: encoding
+@query()
+def p8_ids(spark, folder):
+    """(doc_id, ids) of every document by byte_bpe_50k."""
+    return encode.encode(table(spark, folder, "documents"))
+
+
+# --- 9: packing
+@query()
+def p9_containers(spark, folder):
+    """Every document's container of each kind."""
+    return packing.pack(encode.token_counts(table(spark, folder, "documents")), table(spark, folder, "pack_containers"))
