@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cooccurrence, distinctive, encode, groups, packing, survivors
+from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, packing, survivors
+from shelfmark.session import cut
 from shelfmark.sources.tables import current, table
 
 QUERIES: dict = {}
@@ -142,3 +143,27 @@ def p8_ids(spark, folder):
 def p9_containers(spark, folder):
     """Every document's container of each kind."""
     return packing.pack(encode.token_counts(table(spark, folder, "documents")), table(spark, folder, "pack_containers"))
+
+
+# --- 10: languages
+def _segments(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return cut(language.segments(documents, language.prototypes(documents)))
+
+
+@query()
+def p10_found(spark, folder):
+    """(doc_id, segment_no, lang) of documents labelled wrongly, not at all, or in several languages."""
+    return language.mislabelled(_segments(spark, folder)).select("doc_id", "segment_no", "lang")
+
+
+@query()
+def p10_segments(spark, folder):
+    """Every segment of every document with its language and confidence."""
+    return _segments(spark, folder).select("doc_id", "segment_no", "lang", F.round("confidence", 4).alias("confidence"), "sentences")
+
+
+@query()
+def p10_documents(spark, folder):
+    """The main language of every document with sentences."""
+    return language.document_languages(_segments(spark, folder)).withColumn("confidence", F.round("confidence", 4))
