@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, packing, survivors
+from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, neighbours, packing, survivors
 from shelfmark.session import cut
 from shelfmark.sources.tables import current, table
 
@@ -167,3 +167,16 @@ def p10_segments(spark, folder):
 def p10_documents(spark, folder):
     """The main language of every document with sentences."""
     return language.document_languages(_segments(spark, folder)).withColumn("confidence", F.round("confidence", 4))
+
+
+# --- 1: neighbours
+@query()
+def p1_found(spark, folder):
+    """(id_1, id_2): one is among the 10 most similar to the other."""
+    return neighbours.pairs(neighbours.neighbours(table(spark, folder, "seda_dataset_vectors"), 10))
+
+
+@query()
+def p1_neighbours(spark, folder):
+    """The 10 nearest of every dataset with a usable embedding, with their cosine."""
+    return neighbours.neighbours(table(spark, folder, "seda_dataset_vectors"), 10).withColumn("cosine", F.round("cosine", 6))
