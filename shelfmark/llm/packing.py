@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import cut
+
 #: Items in a group, about.
-GROUP_ITEMS = 50_000
+GROUP_ITEMS = 20_000
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -56,7 +58,7 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     """
     kind = items.schema[key].dataType.simpleString()
     kinds = {r[0]: r[1] for r in containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).limit(1000).collect()}
-    items = items.select(key, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("tokens"))
+    items = cut(items.select(key, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("tokens")))  # the sizes are used twice
     groups = max(1, math.ceil(items.count() / GROUP_ITEMS))
     spread = items.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("_k", F.explode(F.array(*(F.lit(k) for k in sorted(kinds)))) if kinds else F.lit(None).cast("string"))
     if not kinds:

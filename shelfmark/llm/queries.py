@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, neighbours, packing, survivors
+from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, neighbours, packing, subjects, survivors
 from shelfmark.session import cut
 from shelfmark.sources.tables import current, table
 
@@ -180,3 +180,22 @@ def p1_found(spark, folder):
 def p1_neighbours(spark, folder):
     """The 10 nearest of every dataset with a usable embedding, with their cosine."""
     return neighbours.neighbours(table(spark, folder, "seda_dataset_vectors"), 10).withColumn("cosine", F.round("cosine", 6))
+
+
+# --- 3: subjects
+def _subjects(spark, folder):
+    records = current(table(spark, folder, "seda_dataset"), "id", "dataset_name", "dataset_desc", "tags")
+    return subjects.subjects(records, table(spark, folder, "subject_labels"), table(spark, folder, "subject_areas"))
+
+
+@query()
+def p3_found(spark, folder):
+    """(id, subject_code) of every record."""
+    return _subjects(spark, folder).select("id", "subject_code")
+
+
+@query()
+def p3_makeup(spark, folder):
+    """Records of each subject area."""
+    n = _subjects(spark, folder).groupBy("subject_code").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, folder, "subject_areas").select("subject_code", "subject_name").join(n, "subject_code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
