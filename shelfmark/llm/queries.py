@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cooccurrence, distinctive, encode, groups, language, neighbours, packing, subjects, survivors
+from shelfmark.llm import cooccurrence, distinctive, encode, groups, incremental, language, neighbours, packing, subjects, survivors
 from shelfmark.session import cut
 from shelfmark.sources.tables import current, table
 
@@ -199,3 +199,12 @@ def p3_makeup(spark, folder):
     """Records of each subject area."""
     n = _subjects(spark, folder).groupBy("subject_code").agg(F.count(F.lit(1)).alias("n"))
     return table(spark, folder, "subject_areas").select("subject_code", "subject_name").join(n, "subject_code", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+# --- 7: new batches
+@query()
+def p7_found(spark, folder):
+    """(canonical_id, id) of every incoming record of a dataset accepted before."""
+    records = current(table(spark, folder, "seda_dataset"), "id", "canonical_id", "dataset_name", "dataset_desc", "dataset_url")
+    found, _ = incremental.recognise(incremental.history_of(records), incremental.batch_of(table(spark, folder, "incoming_dataset")))
+    return found
