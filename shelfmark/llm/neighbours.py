@@ -27,7 +27,8 @@ from shelfmark.session import cut
 @dataclass(frozen=True)
 class Settings:
     """sample: vectors that train the codebooks, about (the bound); row_cell: rows a cell is meant to have; entries,
-    codebooks: of the residual books; beam: partial encodings kept; probes: cells searched; cell_best, rerank: candidates
+    codebooks: of the residual books; beam: partial encodings kept; probes: cells searched at most; margin: how much less near than
+    the nearest a cell may be to be searched; cell_best, rerank: candidates
     kept by table score in a cell and in a region; region: rows a region is meant to have."""
 
     dimensions: int = 64
@@ -38,6 +39,7 @@ class Settings:
     codebooks: int = 7
     beam: int = 3
     probes: int = 8
+    margin: float = 0.1
     cell_best: int = 100
     rerank: int = 200
     region: int = 4000
@@ -252,13 +254,17 @@ def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings())
                 scale = 1 / np.maximum(np.linalg.norm(total, axis=1), 1e-6)
                 near = v32 @ centres.T - half
                 probe = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
+                level = np.take_along_axis(near, probe, 1)
+                probe = np.where(level >= level.max(1, keepdims=True) - s.margin, probe, -1)
                 probe[:, -1] = np.where((probe == codes[:, :1]).any(1), probe[:, -1], codes[:, 0])
                 slot = np.fromiter((hash_of(i) for i in ids.to_pylist()), np.int64, len(ids))
                 home = region[codes[:, 0]]
                 out_row, out_key, out_own, out_probe = [], [], [], []
                 for i in range(len(ids)):
-                    where = region[probe[i]]
+                    where = np.where(probe[i] < 0, -1, region[probe[i]])
                     for r in np.unique(where).tolist():
+                        if r < 0:
+                            continue
                         mine = np.where(where == r, probe[i], -1)
                         for t in range(int(slices[r])):
                             out_row.append(i)
