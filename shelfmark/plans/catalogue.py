@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from shelfmark.plans import linkage, monitoring
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = linkage.QUERIES | monitoring.QUERIES
+ORACLES = linkage.ORACLES | monitoring.ORACLES
 FLAGSHIP = "dedup_mapping"
