@@ -138,12 +138,12 @@ def synonyms(vectors: list[tuple[str, np.ndarray]], p: Tagging = TAGGING) -> dic
 
     The shortest name of a cluster represents it (ties: the leader, then the alphabet). Vectors None or of zeros stay alone.
     """
-    vectors = sorted((t, v) for t, v in vectors if v is not None) + sorted((t, None) for t, v in vectors if v is None)
+    vectors = sorted(vectors, key=lambda x: x[0])
     out: dict[str, str] = {}
     names = [t for t, v in vectors if v is not None]
-    m = np.array([v for _, v in vectors if v is not None], np.float64).reshape(len(names), -1)
-    n = np.linalg.norm(m, axis=1, keepdims=True) if len(names) else m
-    m = m / np.where(n > 0, n, 1) if len(names) else m
+    m = np.array([v for _, v in vectors if v is not None], np.float64) if names else np.zeros((0, 1))
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    m = m / np.where(n > 0, n, 1)
     free = np.ones(len(names), bool)
     for i, t in enumerate(names):
         if not free[i]:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from shelfmark.plans import linkage, monitoring
+from shelfmark.plans import linkage, monitoring, tagging
 
-QUERIES = linkage.QUERIES | monitoring.QUERIES
-ORACLES = linkage.ORACLES | monitoring.ORACLES
+QUERIES = linkage.QUERIES | monitoring.QUERIES | tagging.QUERIES
+ORACLES = linkage.ORACLES | monitoring.ORACLES | tagging.ORACLES
 FLAGSHIP = "dedup_mapping"

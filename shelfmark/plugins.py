@@ -58,9 +58,9 @@ def encoded(texts: DataFrame, key: str, text: str, encoder: Encoder = hashing_en
 
     def run(parts):
         for p in parts:
-            v = np.asarray(encoder(p[text].fillna("").tolist()), np.float64)
+            v = np.asarray(encoder(p["_text"].fillna("").tolist()), np.float64)
             v = v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-9) if len(v) else v
             yield pd.DataFrame({key: p[key], "embedding": list(v.astype(np.float32))})
 
     kind = texts.schema[key].dataType.simpleString()
-    return texts.select(key, text).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+    return texts.select(key, F.col(text).alias("_text")).mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
