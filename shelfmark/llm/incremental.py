@@ -25,9 +25,9 @@ from shelfmark.functions.text import TAG, informative
 from shelfmark.functions.urls import page_key
 from shelfmark.session import cut, shared_dir
 
-#: Kinds of keys; letters of a text key; rows on either side of a new one; rows a key range is meant to have; sampled keys per range.
+#: Kinds of keys; letters of a text in a key, digits of its title's hash; rows on either side of a new one; rows a key range is meant to have; sampled keys per range.
 KINDS = ("page", "title", "forward", "backward")
-LETTERS, WINDOW, RANGE_ROWS, SAMPLED = 64, 8, 60_000, 50
+LETTERS, TITLE, WINDOW, RANGE_ROWS, SAMPLED = 56, 8, 8, 60_000, 50
 #: Letters two text keys must have in common at the front to be checked.
 SHARED = 40
 #: Share of a description's tokens that may differ, and how many may in any case.
@@ -48,26 +48,33 @@ def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(x, WIDE, NARROW)), r"[^\p{L}\p{N}]+", "")
 
 
-def keys(records: DataFrame) -> DataFrame:
-    """(kind, key, ord, id): the keys of each record; ord is the order of acceptance, given with the records.
+def comparable(records: DataFrame) -> DataFrame:
+    """The records with page, title, front and back: what their keys are made of, short enough to shuffle in place of the texts.
 
-    A record whose title or description tells nothing has no text keys; one without a page address no page key.
+    A record whose title or description tells nothing has no title, front and back; one without a page address no page.
     """
-    title, desc = squeezed(F.col("dataset_name")), squeezed(F.regexp_replace(F.col("dataset_desc"), TAIL_SQL, ""))
-    x = records.select("ord", "id", page_key(F.col("dataset_url")).alias("page"), F.when(informative(F.col("dataset_name")) & informative(F.col("dataset_desc")), F.struct(title.alias("t"), desc.alias("d"))).alias("s"))
-    text = F.when(F.col("s").isNotNull(), F.array(
-        F.struct(F.lit(1).alias("kind"), F.concat(F.md5("s.t"), F.substring("s.d", 1, LETTERS)).alias("key")),
-        F.struct(F.lit(2).alias("kind"), F.concat(F.substring("s.d", 1, LETTERS), F.md5("s.t")).alias("key")),
-        F.struct(F.lit(3).alias("kind"), F.concat(F.substring(F.reverse("s.d"), 1, LETTERS), F.md5("s.t")).alias("key")),
-    ))
-    page = F.array(F.struct(F.lit(0).alias("kind"), F.col("page").alias("key")))
-    each = F.explode(F.concat(page, F.coalesce(text, F.array().cast("array<struct<kind:int,key:string>>"))))
-    return x.select("ord", "id", each.alias("k")).select("k.kind", "k.key", "ord", "id").where("key is not null")
+    told = informative(F.col("dataset_name")) & informative(F.col("dataset_desc"))
+    x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told})
+    x = x.withColumns({"_t": F.when(F.col("_told"), squeezed(F.col("dataset_name"))), "_d": F.when(F.col("_told"), squeezed(F.regexp_replace(F.col("dataset_desc"), TAIL_SQL, "")))})
+    return x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS))}).drop("_told", "_t", "_d")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, compressed, and read again: what follows neither computes nor shuffles it anew."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keys(records: DataFrame) -> DataFrame:
+    """(kind, key, ord, id): the keys of comparable records; ord is the order of acceptance, given with them."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((F.col("page"), F.concat("title", "front"), F.concat("front", "title"), F.concat("back", "title"))))))
+    return records.select("ord", "id", each.alias("k")).select("k.kind", "k.key", "ord", "id").where("key is not null")
 
 
 def firsts(keyed: DataFrame) -> DataFrame:
-    """Rows with one and the same key fall together in the first accepted."""
-    return keyed.groupBy("kind", "key").agg(F.min(F.struct("ord", "id")).alias("x")).select("kind", "key", "x.ord", "x.id")
+    """Rows with one and the same key fall together in the first accepted (before the shuffle already, within each task)."""
+    return keyed.groupBy("range", "kind", "key").agg(F.min(F.struct("ord", "id")).alias("x")).select("range", "kind", "key", "x.ord", "x.id")
 
 
 @dataclass
@@ -100,8 +107,7 @@ class Runs:
     def add(self, keyed: DataFrame) -> None:
         """Write one more run, sorted by key within its ranges."""
         name = f"run-{len(self.names)}-{uuid.uuid4().hex[:8]}"
-        n = sum(len(x) + 1 for x in self.limits)
-        keyed.repartition(n, "range").sortWithinPartitions("range", "key", "ord").write.partitionBy("range").parquet(f"{self.folder}/{name}")
+        keyed.select("range", "kind", "key", "ord", "id").sortWithinPartitions("range", "key", "ord").write.option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
         self.names.append(name)
 
     def compact(self) -> None:
@@ -109,26 +115,23 @@ class Runs:
         if len(self.names) > 1:
             rows = self.read()
             self.names = []
-            self.add(self.at(firsts(rows.drop("range"))))
+            self.add(firsts(rows))
 
 
 def open_runs(history: DataFrame, folder: str | None = None) -> Runs:
     """Runs that hold ``history`` (ord, id, dataset_name, dataset_desc, dataset_url)."""
     spark = history.sparkSession
     folder = folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
-    keyed = cut(firsts(keys(history)))
-    counts = dict(keyed.groupBy("kind").count().collect())
-    limits: list[list[str]] = []
-    per = {k: max(1, round(counts.get(k, 0) / RANGE_ROWS)) for k in range(len(KINDS))}
-    share = F.lit(0.0)
-    for k in range(len(KINDS)):
-        share = F.when(F.col("kind") == k, F.lit(per[k] * SAMPLED / max(1, counts.get(k, 0)))).otherwise(share)
-    drawn = keyed.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < share * 1_000_000).select("kind", "key").collect() if max(per.values()) > 1 else []
-    for k in range(len(KINDS)):
-        mine = sorted({r["key"] for r in drawn if r["kind"] == k})
-        limits.append(sorted({mine[len(mine) * i // per[k]] for i in range(1, per[k])}) if len(mine) >= 2 * per[k] else [])
+    n = max(1, history.count())
+    ranges = max(1, round(n / RANGE_ROWS))
+    limits: list[list[str]] = [[] for _ in KINDS]
+    if ranges > 1:
+        drawn = keys(history.where(F.pmod(F.xxhash64("id"), F.lit(n)) < ranges * SAMPLED)).select("kind", "key").collect()
+        for k in range(len(KINDS)):
+            mine = sorted({r["key"] for r in drawn if r["kind"] == k})
+            limits[k] = sorted({mine[len(mine) * i // ranges] for i in range(1, ranges)}) if mine else []
     runs = Runs(spark, folder, limits, [])
-    runs.add(runs.at(keyed))
+    runs.add(firsts(runs.at(keys(history))))
     return runs
 
 
@@ -140,7 +143,7 @@ def _windows(names: list[str], edges: bool):
     """
 
     def near(a: str, b: str, kind: int) -> bool:
-        return a == b if kind == 0 else a[:32] == b[:32] if kind == 1 else a[:SHARED] == b[:SHARED]
+        return a == b if kind == 0 else a[:TITLE] == b[:TITLE] if kind == 1 else a[:SHARED] == b[:SHARED]
 
     def run(batches):
         now, last, first, out, edge = None, [], [], [], []
@@ -196,7 +199,7 @@ def window_pairs(runs: Runs, fresh: DataFrame) -> DataFrame:
     touched = [r[0] for r in fresh.select("range").distinct().collect()]  # at most the number of ranges
     old = runs.read(touched)
     cols = ["range", "key", "kind", "ord", "id"]
-    head = fresh.groupBy("range", "kind", "key").agg(F.min(F.struct("ord", "id")).alias("x")).select("range", "key", "kind", "x.ord", "x.id")
+    head = firsts(fresh)
     same = fresh.join(head.select("range", "kind", "key", F.col("ord").alias("other"), F.col("id").alias("other_id")), ["range", "kind", "key"]).where("ord != other").select("kind", "ord", "id", "other", "other_id")
     rows = head.select(*cols).withColumn("new", F.lit(True))
     if old is not None:
@@ -269,7 +272,6 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     text = pairs.where("kind != 0").select("ord", "id", "other", "other_id").distinct()
     need = text.select(F.col("id").alias("k")).union(text.select(F.col("other_id").alias("k"))).distinct()
     have = texts.join(need, texts["id"] == F.col("k")).select("k", "dataset_name", "dataset_desc")
-    have = cut(have)
     one = have.select(F.col("k").alias("id"), F.col("dataset_name").alias("n1"), F.col("dataset_desc").alias("d1"))
     two = have.select(F.col("k").alias("other_id"), F.col("dataset_name").alias("n2"), F.col("dataset_desc").alias("d2"))
 
@@ -301,8 +303,8 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def history_of(records: DataFrame) -> DataFrame:
-    """(ord, id, canonical_id, ...) of accepted records: all before any batch; of equals the smallest id stands for all."""
-    return records.select(F.lit(-1).cast("bigint").alias("ord"), "id", F.coalesce("canonical_id", "id").alias("canonical_id"), "dataset_name", "dataset_desc", "dataset_url")
+    """(ord, id, canonical_id, page, title, front, back) of accepted, comparable records: all before any batch; of equals the smallest id stands for all."""
+    return stored(records.select(F.lit(-1).cast("bigint").alias("ord"), "id", F.coalesce("canonical_id", "id").alias("canonical_id"), "page", "title", "front", "back"))
 
 
 def batch_of(incoming: DataFrame) -> DataFrame:
@@ -318,17 +320,17 @@ def rank_of(c: Column) -> Column:
     return F.coalesce(F.regexp_extract(c, r"(\d{1,12})$", 1).try_cast("bigint"), F.pmod(F.xxhash64(c), F.lit(2**40)))
 
 
-def recognise(history: DataFrame, incoming: DataFrame, runs: Runs | None = None) -> tuple[DataFrame, Runs]:
+def recognise(history: DataFrame, incoming: DataFrame, texts: DataFrame, runs: Runs | None = None) -> tuple[DataFrame, Runs]:
     """((canonical_id, id) of every new record of a dataset accepted before, the runs with the batch merged in).
 
-    ``history`` as by ``history_of``, ``incoming`` as by ``batch_of``; several batches may come at once, each record is
-    compared with what was accepted before it. Without ``runs`` they are opened from the history.
+    ``history`` as by ``history_of``, ``incoming`` as by ``batch_of``, ``texts`` (id, dataset_name, dataset_desc) of the
+    accepted records; several batches may come at once, each record is compared with what was accepted before it.
+    Without ``runs`` they are opened from the history. Null ids are left out; empty tables give no rows.
     """
     runs = runs or open_runs(history)
-    fresh = cut(runs.at(keys(incoming)))
+    fresh = cut(runs.at(keys(comparable(incoming))))
     pairs = cut(window_pairs(runs, fresh))
-    texts = history.select("id", "dataset_name", "dataset_desc").unionByName(incoming.select("id", "dataset_name", "dataset_desc"))
-    links = checked(pairs, texts)
-    out = resolve(links, history.select("id", "canonical_id"))
-    runs.add(fresh.select("kind", "key", "ord", "id", "range"))
+    texts = texts.select("id", "dataset_name", "dataset_desc").unionByName(incoming.select("id", "dataset_name", "dataset_desc"))
+    out = resolve(checked(pairs, texts), history.select("id", "canonical_id"))
+    runs.add(fresh)
     return out, runs
