@@ -98,7 +98,8 @@ class Runs:
 
     def read(self, ranges: list[int] | None = None) -> DataFrame | None:
         """All runs' rows, or those of some ranges: the others' files are not opened."""
-        parts = [self.spark.read.parquet(f"{self.folder}/{n}") for n in self.names]
+        shape = "kind int, key string, ord bigint, id string, range int"
+        parts = [self.spark.read.schema(shape).parquet(f"{self.folder}/{n}") for n in self.names]
         if not parts:
             return None
         out = reduce(DataFrame.unionByName, parts)
