@@ -65,17 +65,35 @@ def seed_vocabulary(records: DataFrame, p: Tagging = TAGGING) -> DataFrame:
 
 
 def contained(records: DataFrame, tags: DataFrame) -> DataFrame:
-    """(id, tags): the vocabulary's tags that occur in title or description, as any part of the text.
+    """(id, tags): the vocabulary's tags that occur in title or description, as any part of the text, in alphabetical order.
 
-    The vocabulary is small (checked) and becomes one literal array, so every record is looked through once, in place.
+    The vocabulary is small (checked); each worker builds one automaton of it, which finds all tags in one pass over a
+    text however many they are. Without that library every tag is sought on its own.
     """
     names = sorted({r[0] for r in collect_small(tags.where("tag is not null and tag != ''").select("tag").distinct())})
     text = F.lower(F.concat(F.coalesce("dataset_name", F.lit("")), F.lit(" "), F.coalesce("dataset_desc", F.lit(""))))
-    x = records.select("id", text.alias("_t"))
+
+    def run(batches):
+        find = finder(names)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([find(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["id", "tags"])
+
+    return records.select(F.col("id").cast("string").alias("id"), text.alias("_t")).mapInArrow(run, "id string, tags array<string>")
+
+
+def finder(names: list[str]):
+    """A function that lists, sorted, the names that occur in a text."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [n for n in names if n in text]
+    a = ahocorasick.Automaton()
+    for n in names:
+        a.add_word(n, n)
     if not names:
-        return x.select("id", F.array().cast("array<string>").alias("tags"))
-    every = F.array(*(F.lit(n) for n in names))
-    return x.select("id", F.filter(every, lambda t: F.contains(F.col("_t"), t)).alias("tags"))
+        return lambda text: []
+    a.make_automaton()
+    return lambda text: sorted({n for _, n in a.iter(text)})
 
 
 def document_frequency(records: DataFrame, tags: DataFrame) -> DataFrame:
@@ -315,7 +333,11 @@ def upsert_vocabulary(vocabulary: DataFrame, counts: DataFrame, now: Column) ->
     top = F.broadcast(vocabulary.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("_top")))  # one row
     old = vocabulary.join(counts.select(F.col("tag").alias("tag_name"), "n"), "tag_name", "left").select("tag_id", "tag_name", F.coalesce("n", "tag_count").cast("int").alias("tag_count"), "created_at")
     new = counts.join(vocabulary.select(F.col("tag_name").alias("tag")), "tag", "left_anti").groupBy("tag").agg(F.max("n").alias("n"))
-    new = new.withColumn("_r", F.row_number().over(W.orderBy("tag"))).join(top, F.lit(True))  # new tags of one run: few
+    # ranks in the order of names, counted per initial letters and shifted by the sizes of those before: no single task sorts them all
+    new = new.withColumn("_b", F.substring("tag", 1, 2))
+    sizes = new.groupBy("_b").agg(F.count(F.lit(1)).alias("_s"))
+    before = sizes.select("_b", (F.sum("_s").over(W.orderBy("_b")) - F.col("_s")).alias("_o"))  # one row per two letters
+    new = new.join(before, "_b").withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy("tag")) + F.col("_o")).join(top, F.lit(True))
     return old.unionByName(new.select((F.col("_top") + F.col("_r")).cast("int").alias("tag_id"), F.col("tag").alias("tag_name"), F.col("n").cast("int").alias("tag_count"), now.alias("created_at")))
 
 
