@@ -19,15 +19,18 @@ def token_hash(token: Column) -> Column:
 def simhash(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, simhash): per bit the sign of the tokens' votes, ties to 1; repeated tokens vote each time.
 
-    Null or empty text gives 0, text without a word all ones. One aggregation by key with 64 partial sums: text of any
-    length is folded as it streams by.
+    Null or empty text gives 0, text without a word all ones. One aggregation by key with partial sums: text of any
+    length (up to four thousand million words) is folded as it streams by.
     """
     base = texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t"))
     votes = base.select(key, F.explode(words(F.col("_t"))).alias("_w")).select(key, token_hash(F.col("_w")).alias("_h"))
-    sums = votes.groupBy(key).agg(*(F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"_b{i}") for i in range(64)))
+    # one sum counts two bits, i and i + 32, in the halves of a long
+    pair = F.lit((1 << 32) + 1).cast("bigint")
+    sums = votes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(pair)).alias(f"_b{i}") for i in range(32)))
     bits = F.lit(0).cast("bigint")
-    for i in range(64):
-        bits = bits.bitwiseOR(F.when(F.col(f"_b{i}") >= 0, F.shiftleft(F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
+    for i in range(32):
+        for at, ones in ((i, F.col(f"_b{i}").bitwiseAND(F.lit((1 << 32) - 1).cast("bigint"))), (i + 32, F.shiftrightunsigned(f"_b{i}", 32))):
+            bits = bits.bitwiseOR(F.when(2 * ones >= F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), at)).otherwise(F.lit(0).cast("bigint")))
     done = sums.select(key, bits.alias("simhash"))
     blank = F.when(F.col("_t") == "", F.lit(0)).otherwise(F.lit(-1)).cast("bigint")
     return base.select(key, blank.alias("_none")).join(done, key, "left").select(key, F.coalesce("simhash", "_none").alias("simhash"))
