@@ -43,9 +43,20 @@ WIDE, NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(
 
 
 def squeezed(c: Column) -> Column:
-    """Letters and digits only, lower case, of normal width."""
-    x = F.regexp_replace(F.coalesce(c, F.lit("")), TAG, "")
-    return F.regexp_replace(F.lower(F.translate(x, WIDE, NARROW)), r"[^\p{L}\p{N}]+", "")
+    """Letters and digits only, lower case, of normal width. Markup and wide letters are looked after only where there are some."""
+    x = F.coalesce(c, F.lit(""))
+    x = F.when(x.contains("<"), F.regexp_replace(x, TAG, "")).otherwise(x)
+    return F.regexp_replace(F.lower(F.when(x.rlike("[\uff01-\uff5e]"), F.translate(x, WIDE, NARROW)).otherwise(x)), r"[^\p{L}\p{N}]+", "")
+
+
+def told(c: Column) -> Column:
+    """``informative``, but a long text without markup needs only a letter: no filler is that long."""
+    return F.when((F.length(c) > 60) & ~c.contains("<"), c.rlike(r"[\p{L}\p{N}]")).otherwise(informative(c))
+
+
+def without_tail(c: Column) -> Column:
+    """A description without what mirrors add, which is sought only where its end shows it."""
+    return F.when(F.lower(F.substring(c, -120, 120)).rlike("mirrored copy|镜像于"), F.regexp_replace(c, TAIL_SQL, "")).otherwise(c)
 
 
 def comparable(records: DataFrame) -> DataFrame:
@@ -53,9 +64,8 @@ def comparable(records: DataFrame) -> DataFrame:
 
     A record whose title or description tells nothing has no title, front and back; one without a page address no page.
     """
-    told = informative(F.col("dataset_name")) & informative(F.col("dataset_desc"))
-    x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told})
-    x = x.withColumns({"_t": F.when(F.col("_told"), squeezed(F.col("dataset_name"))), "_d": F.when(F.col("_told"), squeezed(F.regexp_replace(F.col("dataset_desc"), TAIL_SQL, "")))})
+    x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told(F.col("dataset_name")) & told(F.col("dataset_desc"))})
+    x = x.withColumns({"_t": F.when(F.col("_told"), squeezed(F.col("dataset_name"))), "_d": F.when(F.col("_told"), squeezed(without_tail(F.col("dataset_desc"))))})
     return x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS))}).drop("_told", "_t", "_d")
 
 
