@@ -41,7 +41,7 @@ def p4_found(spark, folder):
     most = F.greatest(F.lit(5), F.floor(F.col("ids") / 500))
     ids = F.broadcast(table(spark, folder, "seda_dataset").where("id is not null").agg(F.countDistinct("id").alias("ids")))  # one row
     x = distinctive.distinctive_terms(records, "dataset_name", "dataset_desc", min_tf=2)
-    return x.join(ids, F.lit(True)).where((F.col("df") >= 3) & (F.col("df") <= most)).select("id", "term")
+    return x.join(ids, F.lit(True)).where((F.col("df") >= 3) & (F.col("df") <= most) & F.col("llr").isNotNull()).select("id", "term")
 
 
 @query(f"""with {TERMS}, ln as (select id, sum(tf) len from tf group by 1), al as (select sum(cf) a from st),
