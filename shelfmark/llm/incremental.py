@@ -2,8 +2,8 @@
 
 History is kept as runs: rows of comparable keys (page address, title with text, text forwards, text backwards), sorted
 in key ranges whose limits were drawn once from a bounded sample. A batch is keyed, dealt to the same ranges and merged
-with the runs of the ranges it touches; only windows around new rows are compared. Rows with one and the same key fall
-together in the first of them, so copies can't fill a window. What a window brings together is then checked: the same
+with the runs of the ranges it touches; only windows around new rows, and new rows with all others of their key, are
+compared. Rows whose whole comparable texts are the same fall together in the first of them. What a window brings together is then checked: the same
 page, or the same title and description up to small edits. The batch becomes a run of its own; ``compact`` merges runs.
 """
 
@@ -42,11 +42,26 @@ MARKUP = re.compile(TAG)
 WIDE, NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F)))
 
 
-def squeezed(c: Column) -> Column:
-    """Letters and digits only, lower case, of normal width. Markup and wide letters are looked after only where there are some."""
+def ascii_only(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def plain(c: Column) -> Column:
+    """A text without markup, of normal width. Markup and wide letters are looked after only where there are some."""
     x = F.coalesce(c, F.lit(""))
-    x = F.when(x.contains("<"), F.regexp_replace(x, TAG, "")).otherwise(x)
-    return F.regexp_replace(F.lower(F.when(x.rlike("[\uff01-\uff5e]"), F.translate(x, WIDE, NARROW)).otherwise(x)), r"[^\p{L}\p{N}]+", "")
+    x = F.when(x.contains("<"), F.regexp_replace(x, TAG, " ")).otherwise(x)
+    return F.when(ascii_only(x), x).otherwise(F.translate(x, WIDE, NARROW))
+
+
+def spaced(c: Column) -> Column:
+    """The words of a plain text, lower case, with one blank between: texts that are equal in it are the same to ``checked``."""
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}]+", " "))
+
+
+def squeezed(c: Column) -> Column:
+    """Letters and digits only of spaced words."""
+    x = F.replace(c, F.lit(" "), F.lit(""))
+    return F.when(ascii_only(x), x).otherwise(F.regexp_replace(x, r"\p{M}+", ""))
 
 
 def told(c: Column) -> Column:
@@ -60,13 +75,15 @@ def without_tail(c: Column) -> Column:
 
 
 def comparable(records: DataFrame) -> DataFrame:
-    """The records with page, title, front and back: what their keys are made of, short enough to shuffle in place of the texts.
+    """The records with page, title, front, back and text: what their keys are made of, short enough to shuffle in place of the texts.
 
-    A record whose title or description tells nothing has no title, front and back; one without a page address no page.
+    text is a hash of all words of title and description. A record whose title or description tells nothing has no
+    title, front and back; one without a page address no page.
     """
     x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told(F.col("dataset_name")) & told(F.col("dataset_desc"))})
-    x = x.withColumns({"_t": F.when(F.col("_told"), squeezed(F.col("dataset_name"))), "_d": F.when(F.col("_told"), squeezed(without_tail(F.col("dataset_desc"))))})
-    return x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS))}).drop("_told", "_t", "_d")
+    x = x.withColumns({"_n": F.when(F.col("_told"), spaced(plain(F.col("dataset_name")))), "_w": F.when(F.col("_told"), spaced(without_tail(plain(F.col("dataset_desc")))))})
+    x = x.withColumns({"_t": squeezed(F.col("_n")), "_d": squeezed(F.col("_w")), "text": F.xxhash64("_n", "_w")})
+    return x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS))}).drop("_told", "_n", "_w", "_t", "_d")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -77,14 +94,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def keys(records: DataFrame) -> DataFrame:
-    """(kind, key, ord, id): the keys of comparable records; ord is the order of acceptance, given with them."""
+    """(kind, key, text, ord, id): the keys of comparable records; ord is the order of acceptance, given with them. A page is its own text."""
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((F.col("page"), F.concat("title", "front"), F.concat("front", "title"), F.concat("back", "title"))))))
-    return records.select("ord", "id", each.alias("k")).select("k.kind", "k.key", "ord", "id").where("key is not null")
+    text = F.when(F.col("k.kind") != 0, F.col("text")).otherwise(0).alias("text")
+    return records.select("ord", "id", "text", each.alias("k")).select("k.kind", "k.key", text, "ord", "id").where("key is not null")
 
 
 def firsts(keyed: DataFrame) -> DataFrame:
-    """Rows with one and the same key fall together in the first accepted (before the shuffle already, within each task)."""
-    return keyed.groupBy("range", "kind", "key").agg(F.min(F.struct("ord", "id")).alias("x")).select("range", "kind", "key", "x.ord", "x.id")
+    """Rows of one key and one text fall together in the first accepted (before the shuffle already, within each task); other texts of the key stay."""
+    return keyed.groupBy("range", "kind", "key", "text").agg(F.min(F.struct("ord", "id")).alias("x")).select("range", "kind", "key", "text", "x.ord", "x.id")
 
 
 @dataclass
@@ -108,7 +126,7 @@ class Runs:
 
     def read(self, ranges: list[int] | None = None) -> DataFrame | None:
         """All runs' rows, or those of some ranges: the others' files are not opened."""
-        shape = "kind int, key string, ord bigint, id string, range int"
+        shape = "kind int, key string, text bigint, ord bigint, id string, range int"
         parts = [self.spark.read.schema(shape).parquet(f"{self.folder}/{n}") for n in self.names]
         if not parts:
             return None
@@ -118,7 +136,7 @@ class Runs:
     def add(self, keyed: DataFrame) -> None:
         """Write one more run, sorted by key within its ranges."""
         name = f"run-{len(self.names)}-{uuid.uuid4().hex[:8]}"
-        keyed.select("range", "kind", "key", "ord", "id").sortWithinPartitions("range", "key", "ord").write.option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
+        keyed.select("range", "kind", "key", "text", "ord", "id").sortWithinPartitions("range", "key", "ord").write.option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
         self.names.append(name)
 
     def compact(self) -> None:
@@ -205,21 +223,25 @@ def _rows(pairs, edges) -> pa.RecordBatch:
 def window_pairs(runs: Runs, fresh: DataFrame) -> DataFrame:
     """(kind, ord, id, other, other_id): new rows and the earlier accepted rows in their windows, of old runs or the batch itself.
 
-    ``fresh`` are keyed rows with their range. Rows of one key in the batch are compared with the first of that key.
+    ``fresh`` are keyed rows with their range. Rows of one text in the batch are compared with the first of them, and
+    the first of every text with all other texts of its key, however many there are.
     """
     touched = [r[0] for r in fresh.select("range").distinct().collect()]  # at most the number of ranges
     old = runs.read(touched)
     cols = ["range", "key", "kind", "ord", "id"]
     head = firsts(fresh)
-    same = fresh.join(head.select("range", "kind", "key", F.col("ord").alias("other"), F.col("id").alias("other_id")), ["range", "kind", "key"]).where("ord != other").select("kind", "ord", "id", "other", "other_id")
+    pick = ["kind", "ord", "id", "other", "other_id"]
+    other = lambda x, *c: x.select("range", "kind", "key", *c, F.col("ord").alias("other"), F.col("id").alias("other_id"))
+    same = fresh.join(other(head, "text"), ["range", "kind", "key", "text"]).where("ord != other").select(*pick)
+    every = head if old is None else old.unionByName(head)
+    alike = head.join(other(every), ["range", "kind", "key"]).where("ord > other").select(*pick)
     rows = head.select(*cols).withColumn("new", F.lit(True))
     if old is not None:
         rows = old.select(*cols).withColumn("new", F.lit(False)).unionByName(rows)
     n = sum(len(x) + 1 for x in runs.limits)
     found = cut(rows.repartition(n, "range").sortWithinPartitions("range", "key", "ord").mapInArrow(_windows(cols, True), PAIR))
     across = found.where("edge").select(*cols, "new").repartition("range").sortWithinPartitions("range", "key", "ord").mapInArrow(_windows(cols, False), PAIR)
-    pick = ["kind", "ord", "id", "other", "other_id"]
-    return found.where("not edge").select(*pick).unionByName(across.select(*pick)).unionByName(same).distinct()
+    return found.where("not edge").select(*pick).unionByName(across.select(*pick)).unionByName(same).unionByName(alike).distinct()
 
 
 @lru_cache(20_000)
@@ -314,8 +336,8 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
 
 
 def history_of(records: DataFrame) -> DataFrame:
-    """(ord, id, canonical_id, page, title, front, back) of accepted, comparable records: all before any batch; of equals the smallest id stands for all."""
-    return stored(records.select(F.lit(-1).cast("bigint").alias("ord"), "id", F.coalesce("canonical_id", "id").alias("canonical_id"), "page", "title", "front", "back"))
+    """(ord, id, canonical_id, page, title, front, back, text) of accepted, comparable records: all before any batch; of equals the smallest id stands for all."""
+    return stored(records.select(F.lit(-1).cast("bigint").alias("ord"), "id", F.coalesce("canonical_id", "id").alias("canonical_id"), "page", "title", "front", "back", "text"))
 
 
 def batch_of(incoming: DataFrame) -> DataFrame:

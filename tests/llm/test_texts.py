@@ -179,6 +179,22 @@ def test_key_ranges_lose_no_window(spark, monkeypatch):
     assert {r.id: r.canonical_id for r in found.collect()} == {f"n{i:03}": f"h{i:03}" for i in range(60)}
 
 
+def test_other_texts_of_one_key_are_compared(spark):
+    half = "The series holds monthly readings of wind and rain from all the stations along the northern coast"
+    desc = lambda year: f"{half}, as of {year} only; {half[::-1]}."
+    old = [(f"h{year}", None, "Coast readings", desc(year), None) for year in range(2001, 2031)]
+    new = [(1, f"n{year}", "Coast-Readings", desc(year).upper(), None, None, None) for year in range(2001, 2036)] + [(2, "n9999", "coast readings", desc(2033), None, None, None)]
+    h, texts = history(spark, old)
+    found, runs = incremental.recognise(h, incremental.batch_of(spark.createDataFrame(new, NEW)), texts)
+    assert {r.id: r.canonical_id for r in found.collect()} == {f"n{y}": f"h{y}" for y in range(2001, 2031)} | {"n9999": "n2033"}
+    runs.compact()
+    again = [(3, "m1", "Coast readings", desc(2005), None, None, None), (3, "m2", "Coast readings", desc(2034), None, None, None)]
+    known = h.select("id", "canonical_id").unionByName(spark.createDataFrame([("n2034", "n2034")], "id string, canonical_id string"))
+    accepted = texts.unionByName(spark.createDataFrame([x[1:4] for x in new], texts.schema))
+    found, _ = incremental.recognise(known, incremental.batch_of(spark.createDataFrame(again, NEW)), accepted, runs)
+    assert {r.id: r.canonical_id for r in found.collect()} == {"m1": "h2005", "m2": "n2034"}
+
+
 def test_small_edits_and_others():
     t, d = incremental.same_title, incremental.same_description
     assert t("Oxide-and  acid_Atlas 2001", "<b>oxide and acid atlas 2001</b>") and t("Ｏｘｉｄｅ atlas", "oxide atlas") and t("Jizibhom atlas", "Jizibholm atlas")
