@@ -1,9 +1,9 @@
-"""Deduplicating new batches against all history: multi-key sorted-neighbourhood runs.
+"""Deduplicating new batches against all history: multi-key sorted runs, compared block by block.
 
-History is kept as runs: rows of comparable keys (page address, title with text, text forwards, text backwards), sorted
-in key ranges whose limits were drawn once from a bounded sample. A batch is keyed, dealt to the same ranges and merged
-with the runs of the ranges it touches; only windows around new rows, and new rows with all others of their key, are
-compared. Rows whose whole comparable texts are the same fall together in the first of them. What a window brings together is then checked: the same
+History is kept as runs: rows of comparable keys (page address, title, text forwards, text backwards), sorted in key
+ranges whose limits were drawn once from a bounded sample. A batch is keyed, dealt to the same ranges and merged with
+the runs of the ranges it touches; new rows are compared with all others of their key, however many there are. Rows
+whose whole comparable texts are the same fall together in the first of them. What shares a key is then checked: the same
 page, or the same title and description up to small edits. The batch becomes a run of its own; ``compact`` merges runs.
 """
 
@@ -15,7 +15,6 @@ import uuid
 from dataclasses import dataclass
 from functools import lru_cache, reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,11 +24,9 @@ from shelfmark.functions.text import TAG, informative
 from shelfmark.functions.urls import page_key
 from shelfmark.session import cut, shared_dir
 
-#: Kinds of keys; letters of a text in a key, digits of its title's hash; rows on either side of a new one; rows a key range is meant to have; sampled keys per range.
+#: Kinds of keys; letters of a text in a key, digits of its title's hash and of that of the numbers; rows a key range is meant to have; sampled keys per range.
 KINDS = ("page", "title", "forward", "backward")
-LETTERS, TITLE, WINDOW, RANGE_ROWS, SAMPLED = 56, 8, 8, 60_000, 50
-#: Letters two text keys must have in common at the front to be checked.
-SHARED = 40
+LETTERS, TITLE, NUMBERS, RANGE_ROWS, SAMPLED = 40, 8, 6, 60_000, 50
 #: Share of a description's tokens that may differ, and how many may in any case.
 EDITS, FEW_EDITS = 0.12, 2
 
@@ -40,6 +37,8 @@ TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 MARKUP = re.compile(TAG)
 #: Full-width forms of the printable ASCII letters, and those.
 WIDE, NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F)))
+#: Other signs that stand for digits (raised, circled, fractions, units), and those digits.
+SIGNS = {chr(c): d for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (d := re.sub("[^0-9]", "", unicodedata.normalize("NFKC", chr(c))))}
 
 
 def ascii_only(c: Column) -> Column:
@@ -55,13 +54,13 @@ def plain(c: Column) -> Column:
 
 def spaced(c: Column) -> Column:
     """The words of a plain text, lower case, with one blank between: texts that are equal in it are the same to ``checked``."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}]+", " "))
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}\p{So}]+", " "))
 
 
 def squeezed(c: Column) -> Column:
     """Letters and digits only of spaced words."""
     x = F.replace(c, F.lit(" "), F.lit(""))
-    return F.when(ascii_only(x), x).otherwise(F.regexp_replace(x, r"\p{M}+", ""))
+    return F.when(ascii_only(x), x).otherwise(F.regexp_replace(x, r"[\p{M}\p{So}]+", ""))
 
 
 def told(c: Column) -> Column:
@@ -74,16 +73,28 @@ def without_tail(c: Column) -> Column:
     return F.when(F.lower(F.substring(c, -120, 120)).rlike("mirrored copy|镜像于"), F.regexp_replace(c, TAIL_SQL, "")).otherwise(c)
 
 
+def digits(c: Column) -> Column:
+    """The digits 0 to 9 of spaced words, however they are written."""
+    signs = F.map_from_arrays(F.array(*map(F.lit, SIGNS)), F.array(*map(F.lit, SIGNS.values())))
+    x = F.regexp_replace(c, r"[\p{L}\p{M} ]+", "")
+    odd = F.array_join(F.transform(F.split(x, ""), lambda s: F.coalesce(F.try_element_at(signs, s), s)), "")
+    return F.regexp_replace(F.when(ascii_only(x), x).otherwise(odd), "[^0-9]+", "")
+
+
 def comparable(records: DataFrame) -> DataFrame:
     """The records with page, title, front, back and text: what their keys are made of, short enough to shuffle in place of the texts.
 
-    text is a hash of all words of title and description. A record whose title or description tells nothing has no
-    title, front and back; one without a page address no page.
+    text is a hash of all words of title and description. The others but page end in a hash of the title's digits and
+    those of the description in any order: records that differ there are never the same to ``checked``. A record whose
+    title or description tells nothing has no title, front and back; one without a page address no page.
     """
     x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told(F.col("dataset_name")) & told(F.col("dataset_desc"))})
-    x = x.withColumns({"_n": F.when(F.col("_told"), spaced(plain(F.col("dataset_name")))), "_w": F.when(F.col("_told"), spaced(without_tail(plain(F.col("dataset_desc")))))})
-    x = x.withColumns({"_t": squeezed(F.col("_n")), "_d": squeezed(F.col("_w")), "text": F.xxhash64("_n", "_w")})
-    return x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS))}).drop("_told", "_n", "_w", "_t", "_d")
+    x = x.withColumns({"_p": F.when(F.col("_told"), plain(F.col("dataset_name"))), "_q": F.when(F.col("_told"), without_tail(plain(F.col("dataset_desc"))))})
+    x = x.withColumns({"_n": spaced(F.col("_p")), "_w": spaced(F.col("_q"))})
+    x = x.withColumns({"_t": squeezed(F.col("_n")), "_d": squeezed(F.col("_w")), "text": F.xxhash64("_n", "_w")}).withColumn("_d", F.when(F.col("_d") != "", F.col("_d")))
+    numbers = F.substring(F.md5(F.concat(digits(F.col("_p")), F.lit("|"), F.array_join(F.array_sort(F.split(digits(F.col("_q")), "")), ""))), 1, NUMBERS)
+    x = x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS)), "_s": numbers})
+    return x.withColumns({c: F.concat(c, "_s") for c in ("title", "front", "back")}).drop("_told", "_p", "_q", "_n", "_w", "_t", "_d", "_s")
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -95,7 +106,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def keys(records: DataFrame) -> DataFrame:
     """(kind, key, text, ord, id): the keys of comparable records; ord is the order of acceptance, given with them. A page is its own text."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((F.col("page"), F.concat("title", "front"), F.concat("front", "title"), F.concat("back", "title"))))))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((F.col("page"), F.when(F.col("front").isNotNull(), F.col("title")), F.col("front"), F.col("back"))))))
     text = F.when(F.col("k.kind") != 0, F.col("text")).otherwise(0).alias("text")
     return records.select("ord", "id", "text", each.alias("k")).select("k.kind", "k.key", text, "ord", "id").where("key is not null")
 
@@ -164,84 +175,20 @@ def open_runs(history: DataFrame, folder: str | None = None) -> Runs:
     return runs
 
 
-def _windows(names: list[str], edges: bool):
-    """Rows (range, key, kind, ord, id, new) sorted by range, key, ord -> pairs (new, other) within windows.
-
-    With ``edges`` also the first and last rows of every range, for the windows across its limits: a range's last rows
-    belong to edge ``range``, its first to edge ``range - 1``.
-    """
-
-    def near(a: str, b: str, kind: int) -> bool:
-        return a == b if kind == 0 else a[:TITLE] == b[:TITLE] if kind == 1 else a[:SHARED] == b[:SHARED]
-
-    def run(batches):
-        now, last, first, out, edge = None, [], [], [], []
-
-        def close():
-            if now is not None and edges:
-                edge.extend((now - 1, *r) for r in first)
-                edge.extend((now, *r) for r in last)
-
-        for b in batches:
-            for rng, key, kind, order, ident, new in zip(*(c.to_pylist() for c in b.columns)):
-                if rng != now:
-                    close()
-                    now, last, first = rng, [], []
-                row = (key, kind, order, ident, new)
-                for other in last:
-                    if (new or other[4]) and other[1] == kind and other[2] != order and near(other[0], key, kind):
-                        late, early = (row, other) if order > other[2] else (other, row)
-                        if late[4]:
-                            out.append((late[2], late[3], early[2], early[3], kind))
-                last.append(row)
-                if len(last) > WINDOW:
-                    last.pop(0)
-                if len(first) < WINDOW:
-                    first.append(row)
-            yield _rows(out, edge)
-            out, edge = [], []
-        close()
-        yield _rows(out, edge)
-
-    return run
-
-
-PAIR = "range int, key string, kind int, ord bigint, id string, new boolean, other bigint, other_id string, edge boolean"
-
-
-def _rows(pairs, edges) -> pa.RecordBatch:
-    none = [None] * len(pairs)
-    cols = [
-        none + [e[0] for e in edges], none + [e[1] for e in edges], [p[4] for p in pairs] + [e[2] for e in edges],
-        [p[0] for p in pairs] + [e[3] for e in edges], [p[1] for p in pairs] + [e[4] for e in edges], none + [e[5] for e in edges],
-        [p[2] for p in pairs] + [None] * len(edges), [p[3] for p in pairs] + [None] * len(edges), [False] * len(pairs) + [True] * len(edges),
-    ]
-    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.bool_()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in PAIR.split(", ")])
-
-
-def window_pairs(runs: Runs, fresh: DataFrame) -> DataFrame:
-    """(kind, ord, id, other, other_id): new rows and the earlier accepted rows in their windows, of old runs or the batch itself.
+def block_pairs(runs: Runs, fresh: DataFrame) -> DataFrame:
+    """(kind, ord, id, other, other_id): new rows and the earlier accepted rows of their keys, of old runs or the batch itself.
 
     ``fresh`` are keyed rows with their range. Rows of one text in the batch are compared with the first of them, and
-    the first of every text with all other texts of its key, however many there are.
+    the first of every text with all other texts of its key, by a join: a large block is never gathered.
     """
     touched = [r[0] for r in fresh.select("range").distinct().collect()]  # at most the number of ranges
     old = runs.read(touched)
-    cols = ["range", "key", "kind", "ord", "id"]
     head = firsts(fresh)
     pick = ["kind", "ord", "id", "other", "other_id"]
     other = lambda x, *c: x.select("range", "kind", "key", *c, F.col("ord").alias("other"), F.col("id").alias("other_id"))
     same = fresh.join(other(head, "text"), ["range", "kind", "key", "text"]).where("ord != other").select(*pick)
-    every = head if old is None else old.unionByName(head)
-    alike = head.join(other(every), ["range", "kind", "key"]).where("ord > other").select(*pick)
-    rows = head.select(*cols).withColumn("new", F.lit(True))
-    if old is not None:
-        rows = old.select(*cols).withColumn("new", F.lit(False)).unionByName(rows)
-    n = sum(len(x) + 1 for x in runs.limits)
-    found = cut(rows.repartition(n, "range").sortWithinPartitions("range", "key", "ord").mapInArrow(_windows(cols, True), PAIR))
-    across = found.where("edge").select(*cols, "new").repartition("range").sortWithinPartitions("range", "key", "ord").mapInArrow(_windows(cols, False), PAIR)
-    return found.where("not edge").select(*pick).unionByName(across.select(*pick)).unionByName(same).unionByName(alike).distinct()
+    every = head if old is None else old.select(*head.columns).unionByName(head)
+    return head.join(other(every), ["range", "kind", "key"]).where("ord > other").select(*pick).unionByName(same)
 
 
 @lru_cache(20_000)
@@ -362,7 +309,7 @@ def recognise(history: DataFrame, incoming: DataFrame, texts: DataFrame, runs: R
     """
     runs = runs or open_runs(history)
     fresh = cut(runs.at(keys(comparable(incoming))))
-    pairs = cut(window_pairs(runs, fresh))
+    pairs = cut(block_pairs(runs, fresh))
     texts = texts.select("id", "dataset_name", "dataset_desc").unionByName(incoming.select("id", "dataset_name", "dataset_desc"))
     out = resolve(checked(pairs, texts), history.select("id", "canonical_id"))
     runs.add(fresh)

@@ -195,6 +195,24 @@ def test_other_texts_of_one_key_are_compared(spark):
     assert {r.id: r.canonical_id for r in found.collect()} == {"m1": "h2005", "m2": "n2034"}
 
 
+def test_slips_in_titles_among_many_alike(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("aeioubdfgklmnprst") for _ in range(9))
+    lead, tail = "This collection of monthly readings was brought together by the coastal office", "and every file may be used by everyone without asking anyone at all before"
+    old = [(f"h{i:03}", None, f"Atlas of {word()}", f"{lead} {word()} {word()} {word()}, {tail}.", None) for i in range(100)]
+    slip = lambda t: t[:12] + t[13:]
+    new = [(1, f"n{i:03}", slip(t), d, None, None, None) for i, (_, _, t, d, _) in enumerate(old)] + [(1, f"m{i:03}", slip(t), d.replace("office ", "offices "), None, None, None) for i, (_, _, t, d, _) in enumerate(old[:20])]
+    h, texts = history(spark, old)
+    found, _ = incremental.recognise(h, incremental.batch_of(spark.createDataFrame(new, NEW)), texts)
+    assert {r.id: r.canonical_id for r in found.collect()} == {f"n{i:03}": f"h{i:03}" for i in range(100)} | {f"m{i:03}": f"h{i:03}" for i in range(20)}
+
+
+def test_digits_however_written(spark):
+    texts = ["a1 b²c½ ⑩㎡ ３٣", "no digits 数据", "", None]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(incremental.digits(F.col("t"))).collect()]
+    assert got == ["12121023", "", "", None]
+
+
 def test_small_edits_and_others():
     t, d = incremental.same_title, incremental.same_description
     assert t("Oxide-and  acid_Atlas 2001", "<b>oxide and acid atlas 2001</b>") and t("Ｏｘｉｄｅ atlas", "oxide atlas") and t("Jizibhom atlas", "Jizibholm atlas")
