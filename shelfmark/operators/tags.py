@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import blank_split, strip, words
 from shelfmark.params import TAGGING, Tagging
-from shelfmark.plugins import Chooser, first_candidates
+from shelfmark.plugins import Chooser, Encoder, encoded, first_candidates, hashing_encoder
 
 #: Tags up to which a vocabulary counts as small and is broadcast; checked where it matters.
 SMALL = 5000
@@ -288,6 +288,12 @@ def tag_records(records: DataFrame, vectors: DataFrame, vocabulary: DataFrame, t
     return x.mapInArrow(run, "id string, seeds array<string>, candidates array<string>, tags array<string>, new_tags array<string>")
 
 
+def missing_vectors(records: DataFrame, vectors: DataFrame, encoder: Encoder = hashing_encoder) -> DataFrame:
+    """(id, embedding) of the records that have no vector (id, v): of the text "name. description", to be stored with the others."""
+    text = F.concat(F.coalesce("dataset_name", F.lit("")), F.lit(". "), F.coalesce("dataset_desc", F.lit("")))
+    return encoded(records.join(vectors.select("id"), "id", "left_anti").select("id", text.alias("text")), "id", "text", encoder)
+
+
 def semantic(vectors: DataFrame, tag_vectors: DataFrame) -> DataFrame:
     """(id, tag, sem): cosine of every record's vector (id, v) with every tag's (tag, embedding); the tags are of a checked size."""
     have = [(r[0], np.array(r[1], np.float64)) for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding"))]

@@ -194,21 +194,35 @@ def _stored_edges(spark, folder):
     return e.join(v.select(F.col("tag_id").alias("tag_id_1"), F.col("t").alias("tag_1")), "tag_id_1").join(v.select(F.col("tag_id").alias("tag_id_2"), F.col("t").alias("tag_2")), "tag_id_2").select("tag_1", "tag_2", "weight")
 
 
-def _tagged(spark, folder, records):
-    return tags.tag_records(records, _vectors(spark, folder), _vocabulary(spark, folder), _tag_vectors(spark, folder), _stored_edges(spark, folder))
+def _tagged(spark, folder, records, vectors):
+    return tags.tag_records(records, vectors, _vocabulary(spark, folder), _tag_vectors(spark, folder), _stored_edges(spark, folder))
 
 
 @query()
 def final_tags(spark, folder):
     """Seeds, candidates and tags of every record (initial mode)."""
-    return _tagged(spark, folder, _texts(spark, folder))
+    return _tagged(spark, folder, _texts(spark, folder), _vectors(spark, folder))
+
+
+def _new(spark, folder):
+    """The records that need tags, and the vectors of those of them that have none."""
+    records = _current(spark, folder, "dataset_name", "dataset_desc", "tags")
+    new = records.join(tags.untagged(records), "id", "left_semi")
+    return new, tags.missing_vectors(new, _vectors(spark, folder))
+
+
+@query()
+def missing_vectors(spark, folder):
+    """Vectors the incremental mode makes, to be appended to the stored ones."""
+    return _new(spark, folder)[1]
 
 
 @query()
 def incremental_tags(spark, folder):
-    """Tags of the records that have none (incremental mode)."""
-    records = _current(spark, folder, "dataset_name", "dataset_desc", "tags")
-    return _tagged(spark, folder, records.join(tags.untagged(records), "id", "left_semi")).select("id", "tags")
+    """Tags of the records that have none (incremental mode); missing vectors are made first."""
+    new, made = _new(spark, folder)
+    vectors = _vectors(spark, folder).unionByName(made.select("id", F.col("embedding").cast("array<double>").alias("v")))
+    return _tagged(spark, folder, new, vectors).select("id", "tags")
 
 
 @query(f"with {CUR} select id from cur where tags is null or len(list_filter(tags, lambda t: t is not null)) = 0 or list_contains(tags, '')")

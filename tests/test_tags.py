@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from shelfmark import plugins
 from shelfmark.operators import tags
 from shelfmark.params import Tagging
+from shelfmark.plans import tagging
 from shelfmark.sources import readers, sinks
 
 SCHEMA = "id string, dataset_name string, dataset_desc string"
@@ -107,6 +108,17 @@ def test_tagging_end_to_end(spark):
     assert tags.tag_records(r, v, vocabulary.limit(0), vec.limit(0), edges.limit(0)).where("size(tags) > 0").count() == 0
 
 
+def test_incremental_mode_makes_missing_vectors(spark, data):
+    need = {r.id for r in tagging.untagged_records(spark, data).collect()}
+    made = {r.id: r.embedding for r in tagging.missing_vectors(spark, data).collect()}
+    stored = {r.id for r in tagging._vectors(spark, data).collect()}
+    assert set(made) == need - stored and made
+    got = {r.id: r.tags for r in tagging.incremental_tags(spark, data).collect()}
+    assert set(got) == need and all(got.values())
+    text = {r.id: f"{r.dataset_name or ''}. {r.dataset_desc or ''}" for r in tagging._texts(spark, data).collect()}
+    assert all(np.allclose(v, plugins.hashing_encoder([text[i]])[0], atol=1e-6) for i, v in made.items())
+
+
 def test_vocabulary_and_sets(spark):
     v = spark.createDataFrame([(7, "b", None), (70000, "c", 2), (3, "a", 1)], "tag_id int, tag_name string, tag_count int").withColumn("created_at", F.lit("2025-01-01").cast("timestamp_ntz"))
     assert [(r.idx, r.tag_id, r.tag_count) for r in tags.indexed_vocabulary(v).orderBy("idx").collect()] == [(0, 3, 1), (1, 7, 0), (2, 70000, 2)]
