@@ -198,10 +198,33 @@ def _tagged(spark, folder, records, vectors):
     return tags.tag_records(records, vectors, _vocabulary(spark, folder), _tag_vectors(spark, folder), _stored_edges(spark, folder))
 
 
+@query()
+def catalogue_edges(spark, folder):
+    """Co-occurrence graph of the vocabulary over all current records."""
+    return tags.cooccurrence_edges(_texts(spark, folder), _vocabulary(spark, folder)).withColumn("weight", F.round("weight", 6))
+
+
+def _initial(spark, folder):
+    """(vocabulary, its vectors, edges) of the initial mode: the seed's tags, synonyms merged, their graph over all current records."""
+    import numpy as np
+
+    records = _texts(spark, folder)
+    rows = tags.collect_small(plugins.encoded(tags.seed_vocabulary(records), "tag", "tag").select("tag", "embedding"))
+    leaders = sorted(set(tags.synonyms([(r[0], np.array(r[1])) for r in rows]).values()))
+    vocabulary = spark.createDataFrame([(t,) for t in leaders], "tag string")
+    return vocabulary, plugins.encoded(vocabulary, "tag", "tag"), tags.cooccurrence_edges(records, vocabulary)
+
+
+@query()
+def initial_edges(spark, folder):
+    """Co-occurrence graph that the initial mode builds."""
+    return _initial(spark, folder)[2].withColumn("weight", F.round("weight", 6))
+
+
 @query()
 def final_tags(spark, folder):
-    """Seeds, candidates and tags of every record (initial mode)."""
-    return _tagged(spark, folder, _texts(spark, folder), _vectors(spark, folder))
+    """Seeds, candidates and tags of every record (initial mode: vocabulary and graph are built from the catalogue)."""
+    return tags.tag_records(_texts(spark, folder), _vectors(spark, folder), *_initial(spark, folder))
 
 
 def _new(spark, folder):

@@ -119,6 +119,19 @@ def test_incremental_mode_makes_missing_vectors(spark, data):
     assert all(np.allclose(v, plugins.hashing_encoder([text[i]])[0], atol=1e-6) for i, v in made.items())
 
 
+def test_initial_mode_builds_vocabulary_and_graph(spark, data):
+    texts = [f"{r.dataset_name or ''} {r.dataset_desc or ''}".lower() for r in tagging._texts(spark, data).collect()]
+    stored = {r.tag for r in tagging._vocabulary(spark, data).collect()}
+    edges = tagging.catalogue_edges(spark, data).collect()
+    has = {t: {i for i, x in enumerate(texts) if t in x} for t in stored}
+    want = {(a, b): len(has[a] & has[b]) for a in stored for b in stored if a < b and has[a] & has[b] and len(has[a] & has[b]) / (len(has[a]) * len(has[b])) ** 0.5 >= 0.1}
+    assert {(e.tag_1, e.tag_2): e.n12 for e in edges} == want
+    seed = {r.tag for r in tagging.seed_vocabulary(spark, data).collect()}
+    rows = tagging.final_tags(spark, data).collect()
+    used = {t for r in rows for t in r.candidates}
+    assert len(rows) == len(texts) and used and used <= seed and not used <= stored
+
+
 def test_vocabulary_and_sets(spark):
     v = spark.createDataFrame([(7, "b", None), (70000, "c", 2), (3, "a", 1)], "tag_id int, tag_name string, tag_count int").withColumn("created_at", F.lit("2025-01-01").cast("timestamp_ntz"))
     assert [(r.idx, r.tag_id, r.tag_count) for r in tags.indexed_vocabulary(v).orderBy("idx").collect()] == [(0, 3, 1), (1, 7, 0), (2, 70000, 2)]
