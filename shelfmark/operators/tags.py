@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import blank_split, strip, words
+from shelfmark.functions.text import blank_split, strip, tag_key, tag_parts, words
 from shelfmark.params import TAGGING, Tagging
 from shelfmark.plugins import Chooser, Encoder, encoded, first_candidates, hashing_encoder
 
@@ -151,6 +151,36 @@ def diffusion(size: int, edges: list[tuple[int, int, float]], p: Tagging = TAGGI
     return score
 
 
+def known_tags(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(id, node): the tag_id of every tag of a record (id, tags) that the vocabulary spells, whatever joins its words; of several the smallest."""
+    names = vocabulary.where("tag_id is not null").select(tag_key(F.col("tag_name")).alias("k"), "tag_id").where("k != ''").groupBy("k").agg(F.min("tag_id").alias("node"))
+    x = records.select("id", F.explode("tags").alias("t")).select("id", F.explode(tag_parts(F.col("t"))).alias("t")).select("id", tag_key(F.col("t")).alias("k"))
+    return x.join(F.broadcast(names), "k").select("id", "node").distinct()
+
+
+def record_ranks(matrix: DataFrame, nodes: DataFrame, seeds: DataFrame, p: Tagging = TAGGING, top: int | None = None) -> DataFrame:
+    """(id, node, score): ``pagerank`` of every id's seeds (id, node) over a graph of a checked size (node); only the best of an id with ``top``.
+
+    Each set of seeds is ranked once. Scores of 0 are left out; ties go to the larger node.
+    """
+    names = sorted({r[0] for r in collect_small(nodes.select("node").distinct())})
+    at = {n: i for i, n in enumerate(names)}
+    spread = diffusion(len(names), [(at[r[0]], at[r[1]], r[2]) for r in collect_small(matrix.select("src", "dst", "p"), SMALL * 40)], p)
+    sets = seeds.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("seeds"))
+
+    def run(batches):
+        for b in batches:
+            for own in b.column(0).to_pylist():
+                score = spread[[at[n] for n in own]].mean(0)
+                best = np.lexsort((np.arange(len(names)), score.round(9)))[::-1][:top]
+                best = [i for i in best if score[i] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best), b.column(0).type), pa.array([names[i] for i in best], b.column(0).type.value_type), pa.array(score[best])], ["seeds", "node", "score"])
+
+    kind = sets.schema["seeds"].dataType.elementType.simpleString()
+    ranks = sets.select("seeds").distinct().mapInArrow(run, f"seeds array<{kind}>, node {kind}, score double")
+    return sets.join(ranks, "seeds").select("id", "node", "score")
+
+
 def synonyms(vectors: list[tuple[str, np.ndarray]], p: Tagging = TAGGING) -> dict[str, str]:
     """tag -> representative. Tags in alphabetical order; each yet free one leads and takes the free ones as similar as the threshold.
 

@@ -126,6 +126,24 @@ def ppr_topk(spark, folder):
     return _ranks(spark, folder).withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("id", "node", "rank")
 
 
+def _record_ranks(spark, folder, top=None):
+    vocabulary = table(spark, folder, "tag_vocabulary").where("tag_id is not null")
+    seeds = tags.known_tags(_current(spark, folder, "tags"), vocabulary)
+    return tags.record_ranks(_adjacency(spark, folder), vocabulary.select(F.col("tag_id").alias("node")), seeds, top=top)
+
+
+@query()
+def record_ppr_scores(spark, folder):
+    """Personalised PageRank of every record from all its known tags."""
+    return _record_ranks(spark, folder).where("score > 1e-9")
+
+
+@query()
+def record_ppr_topk(spark, folder):
+    """The ten best nodes of every record."""
+    return _record_ranks(spark, folder, 10)
+
+
 BLANK = r"list_filter(string_split_regex(lower({0}), '[\s\x{{0b}}\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda t: t <> '')"
 
 

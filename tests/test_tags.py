@@ -132,6 +132,19 @@ def test_initial_mode_builds_vocabulary_and_graph(spark, data):
     assert len(rows) == len(texts) and used and used <= seed and not used <= stored
 
 
+def test_every_record_is_ranked_from_its_tags(spark):
+    v = spark.createDataFrame([(3, "Sea Ice"), (70, "lava"), (90, "rain")], "tag_id int, tag_name string")
+    r = spark.createDataFrame([("a", ["sea-ice;LAVA"]), ("b", ["rain", "x"]), ("c", ["lava", "sea ice"]), ("d", None)], "id string, tags array<string>")
+    nodes = v.select(F.col("tag_id").alias("node"))
+    m = tags.adjacency(spark.createDataFrame([(3, 90, 1.0), (70, 90, 2.0)], "src int, dst int, weight double"), nodes)
+    seeds = tags.known_tags(r, v)
+    assert sorted(map(tuple, seeds.collect())) == [("a", 3), ("a", 70), ("b", 90), ("c", 3), ("c", 70)]
+    got = {(x.id, x.node): x.score for x in tags.record_ranks(m, nodes, seeds).collect()}
+    want = {(x.id, x.node): x.score for x in tags.pagerank(m, seeds).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert tags.record_ranks(m, nodes, seeds, top=1).count() == 3
+
+
 def test_vocabulary_and_sets(spark):
     v = spark.createDataFrame([(7, "b", None), (70000, "c", 2), (3, "a", 1)], "tag_id int, tag_name string, tag_count int").withColumn("created_at", F.lit("2025-01-01").cast("timestamp_ntz"))
     assert [(r.idx, r.tag_id, r.tag_count) for r in tags.indexed_vocabulary(v).orderBy("idx").collect()] == [(0, 3, 1), (1, 7, 0), (2, 70000, 2)]
