@@ -1,8 +1,9 @@
-"""Session helpers: shared checkpoint folder, lineage cuts, scalar look-ups."""
+"""Session helpers: shared checkpoint folder, lineage cuts, stored intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,16 @@ def builder(app: str = "shelfmark", master: str | None = None):
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (local tests) a
+    temporary one is made. A cluster that names none is refused: executors don't share a machine's own folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        kept = spark.sparkContext.getCheckpointDir()
-        folder = kept or tempfile.mkdtemp(prefix="shelfmark-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="shelfmark-")
+        hadoop_path(spark, folder, delete=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -38,3 +43,31 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hadoop_path(spark: SparkSession, path: str, delete: bool = False):
+    """(file system, path) of a folder; with ``delete`` it goes when the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if delete:
+        fs.deleteOnExit(at)
+    return fs, at
+
+
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    fs, at = hadoop_path(spark, path)
+    fs.mkdirs(at)  # what isn't there yet can't be marked for deletion
+    fs.deleteOnExit(at)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, compressed, and read again: what follows neither computes nor shuffles it anew.
+
+    Columnar and compressed, so a reader of some columns or rows reads only those; the table goes when the driver ends.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
