@@ -1,200 +1,292 @@
-"""Deduplicating new batches against all history: multi-key sorted runs, compared block by block.
-
-History is kept as runs: rows of comparable keys (page address, title, text forwards, text backwards), sorted in key
-ranges whose limits were drawn once from a bounded sample. A batch is keyed, dealt to the same ranges and merged with
-the runs of the ranges it touches; new rows are compared with all others of their key, however many there are. Rows
-whose whole comparable texts are the same fall together in the first of them. What shares a key is then checked: the same
-page, or the same title and description up to small edits. The batch becomes a run of its own; ``compact`` merges runs.
+"""Deduplicating new batches against all history: multi-key sorted-neighbourhood runs.
+
+History is kept as runs: the keys of the accepted records (page address, title, description forwards, description
+backwards; those of texts begin with a hash of their numbers), sorted within key ranges whose limits were drawn once
+from a bounded sample. A batch is keyed, sorted and written as a run of its own; only the key ranges it touches are read,
+and each new row is compared with the window of rows around it that share its key. The window is as long as the key
+recurs, not a fixed count: a fixed one would lose links where many texts begin alike. Rows of one whole text fall
+together in the first of them. What lies in a window is then checked: the same page, or the same title and description
+up to small edits. Runs are compacted as they pile up, so that their number follows the logarithm of the batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
-import uuid
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, field
 from functools import lru_cache, reduce
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import TAG, informative
+from shelfmark.functions.text import FILLERS, TAG
 from shelfmark.functions.urls import page_key
-from shelfmark.session import cut, shared_dir
+from shelfmark.session import cut, hadoop_path, shared_path, stored
 
-#: Kinds of keys; letters of a text in a key, digits of its title's hash and of that of the numbers; rows a key range is meant to have; sampled keys per range.
+#: Kinds of keys; letters of a text in a key; rows a key range is meant to have; sampled keys per range.
 KINDS = ("page", "title", "forward", "backward")
-LETTERS, TITLE, NUMBERS, RANGE_ROWS, SAMPLED = 40, 8, 6, 60_000, 50
+LETTERS, RANGE_ROWS, SAMPLED = 40, 60_000, 50
 #: Share of a description's tokens that may differ, and how many may in any case.
 EDITS, FEW_EDITS = 0.12, 2
+#: Times a last sentence must have been found added to another record's whole text, and in what share of its uses, to count as an addition.
+SEEN, SHARE = 3, 0.2
+#: Batches are merged together until they hold this share of the rows of the history, which each merge reads once.
+AT_ONCE = 1 / 16
+#: The batch of history, and of new records without one.
+HISTORY, UNKNOWN = -1, 2**30
 
-#: What mirrors add to a description: fixed values.
-TAIL = re.compile(r"\s*(?:mirrored copy, last checked in week \d+\.?|[（(]镜像于\d+年获取。?[)）])\s*$", re.I)
-TAIL_SQL = r"(?i)\s*(mirrored copy, last checked in week \d+\.?|[（(]镜像于\d+年获取。?[)）])\s*(<[^>]*>\s*)*$"
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
-MARKUP = re.compile(TAG)
-#: Full-width forms of the printable ASCII letters, and those.
-WIDE, NARROW = "".join(chr(c + 0xFEE0) for c in range(0x21, 0x7F)), "".join(map(chr, range(0x21, 0x7F)))
-#: Other signs that stand for digits (raised, circled, fractions, units), and those digits.
-SIGNS = {chr(c): d for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000 and (d := re.sub("[^0-9]", "", unicodedata.normalize("NFKC", chr(c))))}
-
+MARKUP, DIGITS = re.compile(TAG), re.compile(r"\d+")
+EMPTY = frozenset(FILLERS)
+WORDS = "name string, head string, tail string, head_tokens int, tokens int, head_numbers string, numbers string, title int, half_1 int, half_2 int, phrase string"
+
+
+def plain(text: str | None) -> str:
+    """A text without markup, of normal width, lower case; '' if it tells nothing."""
+    if not text:
+        return ""
+    if "<" in text:
+        bare, text = MARKUP.sub("", text), MARKUP.sub(" ", text)
+    else:
+        bare = text
+    if len(bare) < 40 and bare.strip().lower() in EMPTY:
+        return ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return text.strip().lower()
+
+
+def last_sentence(text: str) -> int:
+    """Where the last sentence of a plain text begins; 0 if it has but one."""
+    core = text.rstrip(".!?。)」\"' \t\r\n")
+    return 1 + max(core.rfind(c) for c in ".!?。\n")
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode()) - 2**31
+
+
+def words_of(name: str | None, desc: str | None) -> tuple | None:
+    """The columns of WORDS for one record; None if its title or description tells nothing."""
+    n, d = plain(name), plain(desc)
+    if not n or not d:
+        return None
+    at = last_sentence(d)
+    title, head, tail = TOKEN.findall(n), TOKEN.findall(d[:at]), TOKEN.findall(d[at:])
+    if not title or not (head or tail):
+        return None
+    if not head or not tail:
+        head, tail, at = head + tail, [], len(d)
+    said, own = "".join(DIGITS.findall(n)), "".join(DIGITS.findall(d[:at]))
+    numbers = lambda x: hashlib.md5(f"{said}|{''.join(sorted(x))}".encode()).hexdigest()[:10]
+    k = len(title)
+    last = " ".join(tail)
+    return (
+        " ".join(title), " ".join(head), last, len(head), len(head) + len(tail), numbers(own), numbers(own + "".join(DIGITS.findall(d[at:]))),
+        _hash("".join(title)), _hash(f"{k} " + " ".join(title[: k // 2])), _hash(f"{k} " + " ".join(title[k // 2 :])), DIGITS.sub("#", last) or None,
+    )
 
-def ascii_only(c: Column) -> Column:
-    return F.octet_length(c) == F.length(c)
 
+def comparable(records: DataFrame) -> DataFrame:
+    """The records with page and the columns of WORDS in place of title, description and address.
 
-def plain(c: Column) -> Column:
-    """A text without markup, of normal width. Markup and wide letters are looked after only where there are some."""
-    x = F.coalesce(c, F.lit(""))
-    x = F.when(x.contains("<"), F.regexp_replace(x, TAG, " ")).otherwise(x)
-    return F.when(ascii_only(x), x).otherwise(F.translate(x, WIDE, NARROW))
+    name, head and tail are the words of the title, of the description but its last sentence, and of that; numbers a hash
+    of the title's digits and the description's in any order (records that differ there are never the same); title and
+    the halves hashes of the title's words; phrase the last sentence without its numbers. A record whose title or
+    description tells nothing (null, blank, a filler, no word) has nulls there, one without a page address no page.
+    """
+    fixed = ("dataset_name", "dataset_desc", "dataset_url")
+    names = [f.split()[0] for f in WORDS.split(", ")]
+    keep = [c for c in records.columns if c not in (*fixed, "page", *names)]
+    x = records.select(*keep, page_key(F.col("dataset_url")).alias("page"), "dataset_name", "dataset_desc")
+    kinds = [pa.int32() if f.endswith(" int") else pa.string() for f in WORDS.split(", ")]
+    none = (None,) * len(names)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                rows = [words_of(n, d) or none for n, d in zip(part.column(len(keep) + 1).to_pylist(), part.column(len(keep) + 2).to_pylist())]
+                made = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep) + 1)), *made], [*keep, "page", *names])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[:-2])
+    return x.mapInArrow(run, f"{schema}, {WORDS}")
 
-def spaced(c: Column) -> Column:
-    """The words of a plain text, lower case, with one blank between: texts that are equal in it are the same to ``checked``."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\p{M}\p{So}]+", " "))
 
+def history_of(records: DataFrame) -> DataFrame:
+    """(batch, id, canonical_id, page, words...) of accepted records (id, canonical_id, dataset_name, dataset_desc, dataset_url), stored."""
+    return stored(comparable(records).withColumns({"batch": F.lit(HISTORY), "canonical_id": F.coalesce("canonical_id", "id")}))
 
-def squeezed(c: Column) -> Column:
-    """Letters and digits only of spaced words."""
-    x = F.replace(c, F.lit(" "), F.lit(""))
-    return F.when(ascii_only(x), x).otherwise(F.regexp_replace(x, r"[\p{M}\p{So}]+", ""))
 
+def batch_of(incoming: DataFrame) -> DataFrame:
+    """(batch, id, page, words...) of new records, stored: repeated rows once, an id in its first batch, null ids left out."""
+    first = W.partitionBy("id").orderBy(F.col("batch_no").asc_nulls_last(), F.col("arrived_at").asc_nulls_last(), "dataset_name", "dataset_desc", "dataset_url")
+    x = incoming.where(F.col("id").isNotNull()).withColumn("_rn", F.row_number().over(first)).where("_rn = 1")
+    return stored(comparable(x.select(F.coalesce(F.col("batch_no").cast("int"), F.lit(UNKNOWN)).alias("batch"), "id", "dataset_name", "dataset_desc", "dataset_url")))
 
-def told(c: Column) -> Column:
-    """``informative``, but a long text without markup needs only a letter: no filler is that long."""
-    return F.when((F.length(c) > 60) & ~c.contains("<"), c.rlike(r"[\p{L}\p{N}]")).otherwise(informative(c))
 
+def additions(records: DataFrame) -> DataFrame:
+    """(phrase): last sentences that are often found added to the whole text of another record of the same title.
 
-def without_tail(c: Column) -> Column:
-    """A description without what mirrors add, which is sought only where its end shows it."""
-    return F.when(F.lower(F.substring(c, -120, 120)).rlike("mirrored copy|镜像于"), F.regexp_replace(c, TAIL_SQL, "")).otherwise(c)
+    Such as a mirror's note. What ends many texts, but was never seen added to one, is part of those texts.
+    """
+    squeeze = lambda *c: F.xxhash64(*(F.replace(F.col(x), F.lit(" "), F.lit("")) if x != "all" else F.replace(F.concat("head", "tail"), F.lit(" "), F.lit("")) for x in c))
+    told = records.where("name is not null")
+    ends = told.where("phrase is not null").select("phrase", squeeze("name", "head").alias("k"))
+    whole = told.select(squeeze("name", "all").alias("k")).distinct().withColumn("hit", F.lit(1))
+    # a phrase has to recur before its texts are looked up
+    often = ends.groupBy("phrase").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") >= SEEN)
+    found = ends.join(often, "phrase").join(whole, "k").groupBy("phrase").agg(F.count(F.lit(1)).alias("hits"), F.first("uses").alias("uses"))
+    return stored(found.where((F.col("hits") >= SEEN) & (F.col("hits") >= SHARE * F.col("uses"))).select("phrase"))
 
 
-def digits(c: Column) -> Column:
-    """The digits 0 to 9 of spaced words, however they are written."""
-    signs = F.map_from_arrays(F.array(*map(F.lit, SIGNS)), F.array(*map(F.lit, SIGNS.values())))
-    x = F.regexp_replace(c, r"[\p{L}\p{M} ]+", "")
-    odd = F.array_join(F.transform(F.split(x, ""), lambda s: F.coalesce(F.try_element_at(signs, s), s)), "")
-    return F.regexp_replace(F.when(ascii_only(x), x).otherwise(odd), "[^0-9]+", "")
+def without_additions(records: DataFrame, added: DataFrame) -> DataFrame:
+    """(batch, id, page, name, desc, tokens, key parts...) of comparable records, whose descriptions lose a last sentence that is an addition."""
+    x = records.join(added.withColumn("_cut", F.lit(True)), "phrase", "left")
+    less = F.col("_cut").isNotNull()
+    desc = F.when(less | (F.col("tail") == ""), F.col("head")).when(F.col("head") == "", F.col("tail")).otherwise(F.concat_ws(" ", "head", "tail"))
+    x = x.select("batch", "id", "page", "name", desc.alias("desc"), F.when(less, F.col("head_tokens")).otherwise(F.col("tokens")).alias("n"), F.when(less, F.col("head_numbers")).otherwise(F.col("numbers")).alias("numbers"), "title", "half_1", "half_2", *(c for c in ("canonical_id",) if c in records.columns))
+    return x.where("name is not null or page is not null")
 
 
-def comparable(records: DataFrame) -> DataFrame:
-    """The records with page, title, front, back and text: what their keys are made of, short enough to shuffle in place of the texts.
+def heads(records: DataFrame) -> DataFrame:
+    """(kind, key, text, batch, id, title, half_1, half_2, n): the keys of the first record of every text, and of every page (whose text is 0).
 
-    text is a hash of all words of title and description. The others but page end in a hash of the title's digits and
-    those of the description in any order: records that differ there are never the same to ``checked``. A record whose
-    title or description tells nothing has no title, front and back; one without a page address no page.
+    Equal texts have equal keys, so copies fall together before their keys are made, in partial aggregations before each shuffle.
     """
-    x = records.withColumns({"page": page_key(F.col("dataset_url")), "_told": told(F.col("dataset_name")) & told(F.col("dataset_desc"))})
-    x = x.withColumns({"_p": F.when(F.col("_told"), plain(F.col("dataset_name"))), "_q": F.when(F.col("_told"), without_tail(plain(F.col("dataset_desc"))))})
-    x = x.withColumns({"_n": spaced(F.col("_p")), "_w": spaced(F.col("_q"))})
-    x = x.withColumns({"_t": squeezed(F.col("_n")), "_d": squeezed(F.col("_w")), "text": F.xxhash64("_n", "_w")}).withColumn("_d", F.when(F.col("_d") != "", F.col("_d")))
-    numbers = F.substring(F.md5(F.concat(digits(F.col("_p")), F.lit("|"), F.array_join(F.array_sort(F.split(digits(F.col("_q")), "")), ""))), 1, NUMBERS)
-    x = x.withColumns({"title": F.substring(F.md5("_t"), 1, TITLE), "front": F.substring("_d", 1, LETTERS), "back": F.reverse(F.substring("_d", -LETTERS, LETTERS)), "_s": numbers})
-    return x.withColumns({c: F.concat(c, "_s") for c in ("title", "front", "back")}).drop("_told", "_p", "_q", "_n", "_w", "_t", "_d", "_s")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, compressed, and read again: what follows neither computes nor shuffles it anew."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def keys(records: DataFrame) -> DataFrame:
-    """(kind, key, text, ord, id): the keys of comparable records; ord is the order of acceptance, given with them. A page is its own text."""
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in enumerate((F.col("page"), F.when(F.col("front").isNotNull(), F.col("title")), F.col("front"), F.col("back"))))))
-    text = F.when(F.col("k.kind") != 0, F.col("text")).otherwise(0).alias("text")
-    return records.select("ord", "id", "text", each.alias("k")).select("k.kind", "k.key", text, "ord", "id").where("key is not null")
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    x = records.where("name is not null").select("batch", "id", "numbers", bare("name").alias("_t"), bare("desc").alias("_d"), "title", "half_1", "half_2", "n")
+    x = x.select(F.xxhash64("_t", "_d").alias("text"), "batch", "id", F.substring("_t", 1, LETTERS).alias("k1"), F.substring("_d", 1, LETTERS).alias("k2"), F.reverse(F.substring("_d", -LETTERS, LETTERS)).alias("k3"), "numbers", "title", "half_1", "half_2", "n")
+    rest = ["k1", "k2", "k3", "numbers", "title", "half_1", "half_2", "n"]
+    x = x.groupBy("text").agg(F.min(F.struct("batch", "id", *rest)).alias("x")).select("text", "x.*")
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat("numbers", f"k{k}").alias("key")) for k in (1, 2, 3))))
+    texts = x.select(each.alias("k"), "text", "batch", "id", "title", "half_1", "half_2", "n").select("k.kind", "k.key", "text", "batch", "id", "title", "half_1", "half_2", "n")
+    pages = records.where("page is not null").groupBy("page").agg(F.min(F.struct("batch", "id")).alias("x"))
+    none = F.lit(None).cast("int")
+    return texts.unionByName(pages.select(F.lit(0).alias("kind"), F.col("page").alias("key"), F.lit(0).cast("bigint").alias("text"), "x.batch", "x.id", *(none.alias(c) for c in ("title", "half_1", "half_2", "n"))))
 
 
-def firsts(keyed: DataFrame) -> DataFrame:
-    """Rows of one key and one text fall together in the first accepted (before the shuffle already, within each task); other texts of the key stay."""
-    return keyed.groupBy("range", "kind", "key", "text").agg(F.min(F.struct("ord", "id")).alias("x")).select("range", "kind", "key", "text", "x.ord", "x.id")
+ROW = "kind int, key string, text bigint, batch int, id string, title int, half_1 int, half_2 int, n int, range int"
 
 
 @dataclass
 class Runs:
-    """Sorted runs in the shared folder: where they are, and the limits of the key ranges of each kind."""
+    """Sorted runs in the shared folder, the limits of the key ranges of each kind, what mirrors add, and the records accepted so far."""
 
     spark: SparkSession
     folder: str
     limits: list[list[str]]
-    names: list[str]
+    added: DataFrame
+    names: list[str] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
+    accepted: list[DataFrame] = field(default_factory=list)
 
     def at(self, keyed: DataFrame) -> DataFrame:
-        """With the key range of each row: ranges of a kind are numbered on from those of the kind before."""
+        """With the key range of each row: ranges of a kind are numbered on from those of the kind before. Limits are searched in two levels."""
         base, out = 0, None
         for kind, limits in enumerate(self.limits):
-            cuts = F.array(*(F.lit(x) for x in limits)) if limits else F.array().cast("array<string>")
-            here = F.lit(base) + F.size(F.filter(cuts, lambda c: c <= F.col("key")))
+            here = F.lit(base)
+            if limits:
+                step = isqrt(len(limits)) + 1
+                coarse = F.size(F.filter(F.lit(limits[::step]), lambda c: c <= F.col("key")))
+                fine = F.size(F.filter(F.slice(F.lit(limits), F.greatest(coarse - 1, F.lit(0)) * step + 1, F.lit(step)), lambda c: c <= F.col("key")))
+                here = here + F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
             out = F.when(F.col("kind") == kind, here) if out is None else out.when(F.col("kind") == kind, here)
             base += len(limits) + 1
         return keyed.withColumn("range", out)
 
-    def read(self, ranges: list[int] | None = None) -> DataFrame | None:
-        """All runs' rows, or those of some ranges: the others' files are not opened."""
-        shape = "kind int, key string, text bigint, ord bigint, id string, range int"
-        parts = [self.spark.read.schema(shape).parquet(f"{self.folder}/{n}") for n in self.names]
-        if not parts:
-            return None
+    def read(self, ranges: list[int] | None = None, names: list[str] | None = None) -> DataFrame:
+        """All rows of the runs, or those of some ranges: the others' files are not opened."""
+        parts = [self.spark.read.schema(ROW).parquet(f"{self.folder}/{n}") for n in names or self.names]
         out = reduce(DataFrame.unionByName, parts)
         return out if ranges is None else out.where(F.col("range").isin(ranges))
 
-    def add(self, keyed: DataFrame) -> None:
-        """Write one more run, sorted by key within its ranges."""
-        name = f"run-{len(self.names)}-{uuid.uuid4().hex[:8]}"
-        keyed.select("range", "kind", "key", "text", "ord", "id").sortWithinPartitions("range", "key", "ord").write.option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
+    def add(self, keyed: DataFrame) -> str:
+        """Write one more run: a file per key range, sorted by key; its name."""
+        name = f"run-{len(self.names)}-{zlib.crc32(str(self.names).encode()):08x}"
+        keyed.repartition("range").sortWithinPartitions("range", "kind", "key", "batch", "id").write.mode("overwrite").option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
         self.names.append(name)
-
-    def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.names) > 1:
-            rows = self.read()
-            self.names = []
-            self.add(firsts(rows))
-
-
-def open_runs(history: DataFrame, folder: str | None = None) -> Runs:
-    """Runs that hold ``history`` (ord, id, dataset_name, dataset_desc, dataset_url)."""
+        self.sizes.append(self.read(names=[name]).count())
+        return name
+
+    def compact(self, everything: bool = False) -> None:
+        """Merge the last runs into one while the one before is less than twice as large, or all; of one key's equal texts the first stays."""
+        first, total = len(self.names) - 1, self.sizes[-1] if self.sizes else 0
+        while first > 0 and (everything or self.sizes[first - 1] < 2 * total):
+            first -= 1
+            total += self.sizes[first]
+        old = self.names[first:]
+        if len(old) < 2:
+            return
+        rows = self.read(names=old)
+        rest = [c for c in rows.columns if c not in ("range", "kind", "key", "text", "batch", "id")]
+        kept = rows.groupBy("range", "kind", "key", "text").agg(F.min(F.struct("batch", "id", *rest)).alias("x")).select("range", "kind", "key", "text", "x.*")
+        before, sizes = self.names[:first], self.sizes[:first]
+        self.add(kept)
+        self.names, self.sizes = [*before, self.names[-1]], [*sizes, self.sizes[-1]]
+        for name in old:
+            fs, at = hadoop_path(self.spark, f"{self.folder}/{name}")
+            fs.delete(at, True)
+
+
+def open_runs(history: DataFrame) -> Runs:
+    """Runs that hold ``history`` (as by ``history_of``)."""
     spark = history.sparkSession
-    folder = folder or f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+    added = additions(history)
+    mine = without_additions(history, added)
     n = max(1, history.count())
     ranges = max(1, round(n / RANGE_ROWS))
     limits: list[list[str]] = [[] for _ in KINDS]
+    keyed = heads(mine)
     if ranges > 1:
-        drawn = keys(history.where(F.pmod(F.xxhash64("id"), F.lit(n)) < ranges * SAMPLED)).select("kind", "key").collect()
+        drawn = heads(mine.where(F.pmod(F.xxhash64("id"), F.lit(n)) < ranges * SAMPLED)).select("kind", "key").collect()
         for k in range(len(KINDS)):
-            mine = sorted({r["key"] for r in drawn if r["kind"] == k})
-            limits[k] = sorted({mine[len(mine) * i // ranges] for i in range(1, ranges)}) if mine else []
-    runs = Runs(spark, folder, limits, [])
-    runs.add(firsts(runs.at(keys(history))))
+            own = sorted({r["key"] for r in drawn if r["kind"] == k})
+            limits[k] = sorted({own[len(own) * i // ranges] for i in range(1, ranges)}) if own else []
+    runs = Runs(spark, shared_path(spark, "runs"), limits, added)
+    runs.add(runs.at(keyed))
+    runs.accepted.append(mine)
     return runs
 
 
-def block_pairs(runs: Runs, fresh: DataFrame) -> DataFrame:
-    """(kind, ord, id, other, other_id): new rows and the earlier accepted rows of their keys, of old runs or the batch itself.
+def first_copies(fresh: DataFrame) -> DataFrame:
+    """(batch, id, other_batch, other_id, page): each new record with the first new one of its whole text, and of its page."""
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    each = F.array(F.struct(F.lit(True).alias("page"), F.col("page").alias("k")), F.struct(F.lit(False).alias("page"), F.when(F.col("name").isNotNull(), F.xxhash64(bare("name"), bare("desc")).cast("string")).alias("k")))
+    x = fresh.select("batch", "id", F.explode(each).alias("e")).select("batch", "id", "e.page", "e.k").where("k is not null")
+    first = x.groupBy("page", "k").agg(F.min(F.struct("batch", "id")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return x.join(first, ["page", "k"]).select("batch", "id", F.col("f.batch").alias("other_batch"), F.col("f.id").alias("other_id"), "page").where("id != other_id")
+
 
-    ``fresh`` are keyed rows with their range. Rows of one text in the batch are compared with the first of them, and
-    the first of every text with all other texts of its key, by a join: a large block is never gathered.
+def window_pairs(runs: Runs, name: str) -> DataFrame:
+    """(batch, id, other_batch, other_id, page, sure): rows of the run ``name`` and the earlier accepted rows in the windows around them.
+
+    Only ranges the run touches are read. The batch's keys are broadcast where Spark finds them small; beyond, both
+    sides are sorted and merged. Texts of one window that can't be the same (their titles differ in both halves, or their
+    lengths by more than the edits allowed) are left out at once; equal texts are sure.
     """
-    touched = [r[0] for r in fresh.select("range").distinct().collect()]  # at most the number of ranges
-    old = runs.read(touched)
-    head = firsts(fresh)
-    pick = ["kind", "ord", "id", "other", "other_id"]
-    other = lambda x, *c: x.select("range", "kind", "key", *c, F.col("ord").alias("other"), F.col("id").alias("other_id"))
-    same = fresh.join(other(head, "text"), ["range", "kind", "key", "text"]).where("ord != other").select(*pick)
-    every = head if old is None else old.select(*head.columns).unionByName(head)
-    return head.join(other(every), ["range", "kind", "key"]).where("ord > other").select(*pick).unionByName(same)
+    new = runs.read(names=[name])
+    touched = [r[0] for r in new.select("range").distinct().collect()]  # at most the number of ranges
+    pick = ["text", "batch", "id", "title", "half_1", "half_2", "n"]
+    other = runs.read(touched).select("kind", "key", *(F.col(c).alias(f"o_{c}") for c in pick))
+    x = new.select("kind", "key", *pick).join(other, ["kind", "key"])
+    same = F.col("text") == F.col("o_text")
+    alike = (F.col("title") == F.col("o_title")) | (F.col("half_1") == F.col("o_half_1")) | (F.col("half_2") == F.col("o_half_2"))
+    near = F.abs(F.col("n") - F.col("o_n")) <= F.greatest(F.lit(FEW_EDITS), F.floor(EDITS * F.greatest("n", "o_n")))
+    before = F.struct("o_batch", "o_id") < F.struct("batch", "id")
+    return x.where(before & (F.col("id") != F.col("o_id")) & (same | (alike & near))).select("batch", "id", F.col("o_batch").alias("other_batch"), F.col("o_id").alias("other_id"), (F.col("kind") == 0).alias("page"), same.alias("sure"))
 
 
 @lru_cache(20_000)
-def _tokens(text: str | None) -> tuple[str, ...]:
-    text = unicodedata.normalize("NFKC", MARKUP.sub(" ", text or ""))
-    return tuple(TOKEN.findall(TAIL.sub("", text.strip()).lower()))
+def _split(words: str) -> tuple[str, ...]:
+    return tuple(words.split())
 
 
 def _edits(a: tuple[str, ...], b: tuple[str, ...], most: int) -> int:
@@ -227,16 +319,16 @@ def _typo(x: str, y: str) -> bool:
 
 
 def same_title(a: str, b: str) -> bool:
-    """Equal up to markup, blanks, signs and case, and at most one slip."""
-    x, y = _tokens(a), _tokens(b)
+    """Whether two titles, as words, are equal but for at most one slip, however their words are joined."""
+    x, y = _split(a), _split(b)
     if x == y or "".join(x) == "".join(y):
         return bool(x)
     return len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1 and all(p == q or _typo(p, q) for p, q in zip(x, y))
 
 
 def same_description(a: str, b: str) -> bool:
-    """Equal up to a few tokens; the numbers must be the same."""
-    x, y = _tokens(a), _tokens(b)
+    """Whether two descriptions, as words, are equal up to a few tokens; the numbers must be the same."""
+    x, y = _split(a), _split(b)
     if x == y or "".join(x) == "".join(y):
         return bool(x)
     digits = lambda t: sorted(w for w in t if any(c.isdigit() for c in w))
@@ -246,35 +338,35 @@ def same_description(a: str, b: str) -> bool:
     return min(len(x), len(y)) > most and _edits(x, y, most) <= most
 
 
-def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(ord, id, other, other_id, page): the pairs that are one dataset. Page keys need no check; texts (id, title, description) decide the others."""
-    page = pairs.where("kind = 0").select("ord", "id", "other", "other_id", F.lit(True).alias("page"))
-    text = pairs.where("kind != 0").select("ord", "id", "other", "other_id").distinct()
-    need = text.select(F.col("id").alias("k")).union(text.select(F.col("other_id").alias("k"))).distinct()
-    have = texts.join(need, texts["id"] == F.col("k")).select("k", "dataset_name", "dataset_desc")
-    one = have.select(F.col("k").alias("id"), F.col("dataset_name").alias("n1"), F.col("dataset_desc").alias("d1"))
-    two = have.select(F.col("k").alias("other_id"), F.col("dataset_name").alias("n2"), F.col("dataset_desc").alias("d2"))
+def checked(pairs: DataFrame, accepted: list[DataFrame]) -> DataFrame:
+    """(batch, id, other_batch, other_id, page): the pairs that are one dataset: pages and equal texts as they are, the others by their words."""
+    names = ["batch", "id", "other_batch", "other_id"]
+    sure = pairs.where("page or sure").groupBy(*names).agg(F.max("page").alias("page"))
+    open_ = pairs.where("not page and not sure").select(*names).distinct()
+    need = open_.select(F.col("id").alias("k")).union(open_.select(F.col("other_id").alias("k"))).distinct()
+    have = reduce(DataFrame.unionByName, [a.select(F.col("id").alias("k"), "name", "desc") for a in accepted]).join(need, "k", "left_semi")
+    one = have.select(F.col("k").alias("id"), F.col("name").alias("n1"), F.col("desc").alias("d1"))
+    two = have.select(F.col("k").alias("other_id"), F.col("name").alias("n2"), F.col("desc").alias("d2"))
 
     def judge(batches):
         for b in batches:
             n1, d1, n2, d2 = (b.column(i).to_pylist() for i in range(4, 8))
-            ok = [same_title(a, c) and same_description(x, y) for a, x, c, y in zip(n1, d1, n2, d2)]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], ["ord", "id", "other", "other_id"]).filter(pa.array(ok, pa.bool_()))
+            ok = np.array([same_title(a, c) and same_description(x, y) for a, x, c, y in zip(n1, d1, n2, d2)], bool)
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(4)], names).filter(pa.array(ok))
 
-    same = text.join(one, "id").join(two, "other_id").select("ord", "id", "other", "other_id", "n1", "d1", "n2", "d2").mapInArrow(judge, "ord bigint, id string, other bigint, other_id string")
-    return page.unionByName(same.withColumn("page", F.lit(False)))
+    same = open_.join(one, "id").join(two, "other_id").select(*names, "n1", "d1", "n2", "d2").mapInArrow(judge, "batch int, id string, other_batch int, other_id string")
+    return sure.unionByName(same.withColumn("page", F.lit(False)))
 
 
 def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
-    """(canonical_id, id): each linked record's dataset. ``canonical`` (id, canonical_id) holds those accepted in history.
+    """(canonical_id, id): each linked record's dataset. ``canonical`` (id, canonical_id) holds the records accepted before.
 
-    A record follows its best link: to history before the batch, by page before text, to the earliest; links within
-    the batches are followed to their first record by pointer doubling.
+    A record follows its best link: to those accepted before, by page before text, to the earliest; links within the
+    merged batches are followed to their first record by pointer doubling.
     """
     x = links.join(canonical.select(F.col("id").alias("other_id"), F.col("canonical_id").alias("c")), "other_id", "left")
-    best = F.min(F.struct(F.col("c").isNull().alias("a"), (~F.col("page")).alias("b"), F.coalesce("c", F.lit("")).alias("d"), "other", "other_id")).alias("m")
-    node = x.groupBy("id").agg(best).select("id", F.when(~F.col("m.a"), F.col("m.d")).alias("done"), F.col("m.other_id").alias("up"))
-    node = cut(node)
+    best = F.min(F.struct(F.col("c").isNull().alias("a"), (~F.col("page")).alias("b"), F.coalesce("c", F.lit("")).alias("d"), "other_batch", "other_id")).alias("m")
+    node = cut(x.groupBy("id").agg(best).select("id", F.when(~F.col("m.a"), F.col("m.d")).alias("done"), F.col("m.other_id").alias("up")))
     while not node.where("done is null").isEmpty():
         up = node.select(F.col("id").alias("up"), F.col("done").alias("d2"), F.col("up").alias("up2"), F.lit(True).alias("there"))
         # a parent without links is new itself: the first record of its dataset
@@ -282,35 +374,40 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
     return node.select(F.col("done").alias("canonical_id"), "id")
 
 
-def history_of(records: DataFrame) -> DataFrame:
-    """(ord, id, canonical_id, page, title, front, back, text) of accepted, comparable records: all before any batch; of equals the smallest id stands for all."""
-    return stored(records.select(F.lit(-1).cast("bigint").alias("ord"), "id", F.coalesce("canonical_id", "id").alias("canonical_id"), "page", "title", "front", "back", "text"))
-
-
-def batch_of(incoming: DataFrame) -> DataFrame:
-    """(ord, id, batch_no, ...) of new records: repeated rows once, an id in its first batch; ordered by (batch_no, id)."""
-    first = W.partitionBy("id").orderBy(F.col("batch_no").asc_nulls_last(), F.col("arrived_at").asc_nulls_last(), "dataset_name", "dataset_desc", "dataset_url")
-    x = incoming.where(F.col("id").isNotNull()).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
-    # a number in the order of (batch_no, id): ranks within batches are counted per id prefix, never in one task
-    return x.withColumn("ord", F.coalesce(F.col("batch_no").cast("bigint"), F.lit(2**20)) * F.lit(2**42) + rank_of(F.col("id")))
-
-
-def rank_of(c: Column) -> Column:
-    """A number that orders ids of one pattern (same letters, digits at the end) as their text does."""
-    return F.coalesce(F.regexp_extract(c, r"(\d{1,12})$", 1).try_cast("bigint"), F.pmod(F.xxhash64(c), F.lit(2**40)))
-
-
-def recognise(history: DataFrame, incoming: DataFrame, texts: DataFrame, runs: Runs | None = None) -> tuple[DataFrame, Runs]:
-    """((canonical_id, id) of every new record of a dataset accepted before, the runs with the batch merged in).
+def recognise(runs: Runs, incoming: DataFrame) -> DataFrame:
+    """(canonical_id, id) of every new record of a dataset accepted before; the runs then hold the new records too.
 
-    ``history`` as by ``history_of``, ``incoming`` as by ``batch_of``, ``texts`` (id, dataset_name, dataset_desc) of the
-    accepted records; several batches may come at once, each record is compared with what was accepted before it.
-    Without ``runs`` they are opened from the history. Null ids are left out; empty tables give no rows.
+    ``incoming`` as by ``batch_of``; several batches may come at once, each record is compared with what was accepted
+    before it, in the order of (batch, id). A record whose id was accepted before is no duplicate of itself. Empty
+    tables give no rows.
     """
-    runs = runs or open_runs(history)
-    fresh = cut(runs.at(keys(comparable(incoming))))
-    pairs = cut(block_pairs(runs, fresh))
-    texts = texts.select("id", "dataset_name", "dataset_desc").unionByName(incoming.select("id", "dataset_name", "dataset_desc"))
-    out = resolve(checked(pairs, texts), history.select("id", "canonical_id"))
-    runs.add(fresh)
-    return out, runs
+    fresh = without_additions(incoming, runs.added)
+    name = runs.add(runs.at(heads(fresh)))
+    pairs = stored(window_pairs(runs, name).unionByName(first_copies(fresh).withColumn("sure", F.lit(True))))
+    known = reduce(DataFrame.unionByName, [a.select("id", "canonical_id") for a in runs.accepted])
+    found = resolve(checked(pairs, [*runs.accepted, fresh]), known)
+    mine = fresh.join(found.select("id", F.col("canonical_id").alias("_c")), "id", "left").withColumn("canonical_id", F.coalesce("_c", "id")).drop("_c")
+    runs.accepted.append(stored(mine))
+    runs.compact()
+    return found
+
+
+def merges(incoming: DataFrame, rows: int) -> list[tuple[int, int]]:
+    """(first, last) batch of each merge: batches in order, together until they hold AT_ONCE of ``rows``."""
+    sizes = incoming.groupBy("batch").count().orderBy("batch").collect()  # a row per batch
+    out, held = [], 0
+    for batch, n in sizes:
+        if held:
+            out[-1] = (out[-1][0], batch)
+        else:
+            out.append((batch, batch))
+        held = 0 if held + n >= AT_ONCE * rows else held + n
+    return out
+
+
+def recognise_all(history: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Runs]:
+    """((canonical_id, id) of all batches, the runs after them): the batches merged one after the other into the runs of the history."""
+    runs = open_runs(history)
+    found = [recognise(runs, incoming.where(F.col("batch").between(a, b))) for a, b in merges(incoming, history.count())]
+    none = history.sparkSession.createDataFrame([], "canonical_id string, id string")
+    return reduce(DataFrame.unionByName, found, none), runs

@@ -205,8 +205,6 @@ def p3_makeup(spark, folder):
 @query()
 def p7_found(spark, folder):
     """(canonical_id, id) of every incoming record of a dataset accepted before."""
-    raw = table(spark, folder, "seda_dataset")
-    history = incremental.history_of(current(incremental.comparable(raw), "id", "canonical_id", "page", "title", "front", "back", "text"))
-    texts = current(raw, "id", "dataset_name", "dataset_desc")
-    found, _ = incremental.recognise(history, incremental.batch_of(table(spark, folder, "incoming_dataset")), texts)
+    records = current(table(spark, folder, "seda_dataset"), "id", "canonical_id", "dataset_name", "dataset_desc", "dataset_url")
+    found, _ = incremental.recognise_all(incremental.history_of(records), incremental.batch_of(table(spark, folder, "incoming_dataset")))
     return found
