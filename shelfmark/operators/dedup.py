@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.hashing import simhash
 from shelfmark.functions.text import normalize_name, record_text
 from shelfmark.functions.urls import canonicalize_url
 from shelfmark.functions.vector import vectors_of
-from shelfmark.operators.blocking import lsh_buckets, simhash_buckets, verified_links
+from shelfmark.operators.blocking import lsh_buckets, lsh_signatures, similar_links, simhash_buckets, verified_links
 from shelfmark.operators.components import components
 from shelfmark.params import DEDUP, Dedup
+from shelfmark.session import stored
 
 
 def normalized(records: DataFrame) -> DataFrame:
@@ -66,15 +68,27 @@ def chained(mapped: DataFrame, further: DataFrame) -> DataFrame:
     return mapped.join(hop, mapped["canonical_id"] == F.col("_k"), "left").select("id", F.coalesce("_v", "canonical_id").alias("canonical_id"))
 
 
+def marked(norm: DataFrame, vectors: DataFrame, p: Dedup = DEDUP) -> DataFrame:
+    """(id, v, simhash, signature) of the records with a vector: what decides whether two are bucket mates, and alike."""
+    texts = norm.select("id", "text")
+    return vectors.join(simhash(texts, "id", "text"), "id").join(lsh_signatures(texts, p), "id")
+
+
 def semantic_links(norm: DataFrame, vectors: DataFrame, p: Dedup = DEDUP) -> DataFrame:
-    """(src, dst): bucket mates by SimHash band or projection signature whose vectors agree."""
+    """(src, dst): records that share a SimHash band or projection signature and whose vectors agree, as stars."""
+    return similar_links(marked(norm, vectors, p), p)
+
+
+def bucket_links(norm: DataFrame, vectors: DataFrame, p: Dedup = DEDUP) -> DataFrame:
+    """``semantic_links`` by comparing all members of every bucket: exact, and quadratic."""
     texts = norm.select("id", "text")
     return verified_links(simhash_buckets(texts, p).union(lsh_buckets(texts, p)).distinct(), vectors, p)
 
 
 def deduplicate(records: DataFrame, vectors: DataFrame, dimensions: int = 64, p: Dedup = DEDUP) -> DataFrame:
     """(id, canonical_id): exact and semantic links, grouped in one global pass."""
-    norm = normalized(records)
+    records = stored(records.select("id", *p.fields))  # read for the links and for the choice of the canonical record
+    norm = stored(normalized(records))
     links = explicit_links(norm).select("src", "dst").union(semantic_links(norm, vectors_of(records, vectors, dimensions), p))
     return mapping(records, links, p)
 

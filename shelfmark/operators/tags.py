@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions.text import blank_split, strip, tag_key, tag_parts, words
 from shelfmark.params import TAGGING, Tagging
+from shelfmark import session
 from shelfmark.plugins import Chooser, Encoder, encoded, first_candidates, hashing_encoder
 
 #: Tags up to which a vocabulary counts as small and is broadcast; checked where it matters.
@@ -22,10 +23,7 @@ THINGS = ("learning", "vision", "network", "model")
 
 def collect_small(df: DataFrame, most: int = SMALL) -> list:
     """The rows of a table of a checked size."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rows: raise the limit if each worker can hold them")
-    return rows
+    return session.collect_small(df, most)
 
 
 def candidate_terms(records: DataFrame, p: Tagging = TAGGING) -> DataFrame:

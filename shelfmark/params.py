@@ -36,6 +36,11 @@ class Dedup:
     sub_buckets: int = 50
     sub_dims: int = 10
     max_features: int = 20_000
+    in_bucket: int = 50
+    #: our own: rows that meet in a bucket of a table, the share of pairs at the threshold that is to be found, seed of the planes
+    met: int = 128
+    recall: float = 0.95
+    plane_seed: int = 17
     fields: tuple[str, ...] = ("dataset_name", "dataset_desc", "dataset_url", "source")
 
 

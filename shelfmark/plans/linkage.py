@@ -234,8 +234,8 @@ def sub_buckets(spark, folder):
     return split.groupBy("bucket", "sub").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with {OWN} select id, [round(x / (sqrt(list_dot_product(e::double[], e::double[])) + 1e-9), 4) for x in list_slice(e::double[], 1, 3)] head from own")
+@query(f"with {OWN} select id, [round(x / (sqrt(list_dot_product(e::double[], e::double[])) + 1e-9), 4) + 0.0 for x in e::double[]] v from own")
 def unit_vectors(spark, folder):
-    """First numbers of every vector of length one."""
+    """Every usable vector, of length one."""
     v = table(spark, folder, "seda_dataset_vectors").where(F.col("id").isNotNull() & usable(F.col("embedding"), 64)).groupBy("id").agg(F.min("embedding").alias("e"))
-    return v.select("id", F.transform(F.slice(unit(F.col("e")), 1, 3), lambda x: F.round(x, 4)).alias("head"))
+    return v.select("id", F.transform(unit(F.col("e")), lambda x: F.round(x, 4) + F.lit(0.0)).alias("v"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def builder(app: str = "shelfmark", master: str | None = None):
@@ -45,6 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of the rows observed by the job that writes the checkpoint: no further pass counts them.
+
+    A repeated task may count its rows twice, so only ask whether there were any.
+    """
+    seen = Observation()
+    done = cut(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
+    return done, seen.get
+
+
+def collect_small(df: DataFrame, most: int) -> list:
+    """The rows of a table of a checked size: more than ``most`` is an error, never a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: raise the limit if each worker can hold them")
+    return rows
+
+
 def hadoop_path(spark: SparkSession, path: str, delete: bool = False):
     """(file system, path) of a folder; with ``delete`` it goes when the driver's JVM ends."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shelfmark.session import hadoop_path
 from shelfmark.sources.tables import SCHEMAS
 
 
@@ -32,10 +33,19 @@ def replace(rows: DataFrame, path: str, keep_if_empty: bool = False) -> bool:
     if keep_if_empty and rows.isEmpty():
         return False
     spark = rows.sparkSession
-    beside = f"{path.rstrip('/')}-{uuid.uuid4().hex[:8]}"
+    mark = uuid.uuid4().hex[:8]
+    beside, aside = (f"{path.rstrip('/')}-{kind}-{mark}" for kind in ("new", "old"))
     rows.write.parquet(beside)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    target, fresh = hadoop(path), hadoop(beside)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(target, True)
-    return bool(fs.rename(fresh, target))
+    fs, target = hadoop_path(spark, path)
+    fresh, old = hadoop_path(spark, beside)[1], hadoop_path(spark, aside)[1]
+    had = fs.exists(target)
+    # the old table is moved, not deleted, until the new one stands: a crash between leaves both
+    if had and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(fresh, target):
+        if had:
+            fs.rename(old, target)
+        raise OSError(f"{beside} can't be moved to {path}")
+    if had:
+        fs.delete(old, True)
+    return True
