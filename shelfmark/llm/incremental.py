@@ -38,6 +38,8 @@ EDITS, FEW_EDITS = 0.12, 2
 SEEN, SHARE = 3, 0.2
 #: Batches are merged together until they hold this share of the rows of the history, which each merge reads once.
 AT_ONCE = 1 / 16
+#: Keyed rows of a merge (about a hundred bytes each) up to which they are broadcast to the runs; beyond, both are shuffled.
+BROADCAST_ROWS = 100_000
 #: The batch of history, and of new records without one.
 HISTORY, UNKNOWN = -1, 2**30
 
@@ -268,15 +270,16 @@ def first_copies(fresh: DataFrame) -> DataFrame:
 def window_pairs(runs: Runs, name: str) -> DataFrame:
     """(batch, id, other_batch, other_id, page, sure): rows of the run ``name`` and the earlier accepted rows in the windows around them.
 
-    Only ranges the run touches are read. The batch's keys are broadcast where Spark finds them small; beyond, both
-    sides are sorted and merged. Texts of one window that can't be the same (their titles differ in both halves, or their
+    Only ranges the run touches are read. A merge of up to BROADCAST_ROWS keys goes to where the runs lie, so that no old
+    row is shuffled for it; of a larger one both sides are sorted and merged. Texts of one window that can't be the same (their titles differ in both halves, or their
     lengths by more than the edits allowed) are left out at once; equal texts are sure.
     """
     new = runs.read(names=[name])
     touched = [r[0] for r in new.select("range").distinct().collect()]  # at most the number of ranges
     pick = ["text", "batch", "id", "title", "half_1", "half_2", "n"]
     other = runs.read(touched).select("kind", "key", *(F.col(c).alias(f"o_{c}") for c in pick))
-    x = new.select("kind", "key", *pick).join(other, ["kind", "key"])
+    new = new.select("kind", "key", *pick)
+    x = other.join(F.broadcast(new) if runs.sizes[runs.names.index(name)] <= BROADCAST_ROWS else new, ["kind", "key"])
     same = F.col("text") == F.col("o_text")
     alike = (F.col("title") == F.col("o_title")) | (F.col("half_1") == F.col("o_half_1")) | (F.col("half_2") == F.col("o_half_2"))
     near = F.abs(F.col("n") - F.col("o_n")) <= F.greatest(F.lit(FEW_EDITS), F.floor(EDITS * F.greatest("n", "o_n")))
