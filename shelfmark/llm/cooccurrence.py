@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import tag_key, tag_parts
+from shelfmark.session import stored
 
 #: A vocabulary up to this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 20_000
@@ -31,11 +32,12 @@ def pair_statistics(baskets: DataFrame) -> DataFrame:
     basket held by a third of all records is enumerated once. n is the number of records; weight is Ochiai's
     n12/sqrt(n1*n2); lift is n12*n/(n1*n2); conviction is (1-n2/n)/(1-n12/n1), null where the rule never fails.
     """
-    weighed = baskets.groupBy("items").agg(F.count(F.lit(1)).alias("w")).where(F.size("items") > 0)
+    weighed = stored(baskets.groupBy("items").agg(F.count(F.lit(1)).alias("w")).where(F.size("items") > 0))
     single = weighed.select(F.explode("items").alias("item"), "w").groupBy("item").agg(F.sum("w").alias("c"))
     total = F.broadcast(weighed.agg(F.sum("w").alias("n")))  # one row
-    pairs = F.flatten(F.transform("items", lambda a, i: F.transform(F.slice("items", i + 2, F.size("items")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = weighed.select(F.explode(pairs).alias("p"), "w").groupBy(F.col("p.a").alias("item_1"), F.col("p.b").alias("item_2")).agg(F.sum("w").alias("n12"))
+    # two expansions, one after the other: the pairs of a large basket never lie in one row
+    first = weighed.select("items", "w", F.posexplode("items").alias("at", "item_1")).select("item_1", "w", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("item_2"))
+    both = first.groupBy("item_1", "item_2").agg(F.sum("w").alias("n12"))
     one = single.select(F.col("item").alias("item_1"), F.col("c").alias("n1"))
     two = single.select(F.col("item").alias("item_2"), F.col("c").alias("n2"))
     x = both.join(one, "item_1").join(two, "item_2").join(total, F.lit(True))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import strip
-from shelfmark.session import cut
+from shelfmark.session import cut, cut_counting
 
 LINKING_STAGES = ("name", "url", "mapping")
 THRESHOLD = 0.82
@@ -48,14 +48,14 @@ def _hook(edges: DataFrame) -> DataFrame:
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
-    """Pointer doubling until every node points to its root."""
+    """Pointer jumping until every node points to its root: three pointers at a time, one job per step."""
     while True:
         up = parents.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        twice = parents.join(up, "p").select("v", F.col("p").alias("old"), F.col("g").alias("p"))
-        twice = cut(twice)
-        moved = not twice.where("old != p").isEmpty()
-        parents = twice.select("v", "p")
-        if not moved:
+        top = parents.select(F.col("v").alias("g"), F.col("p").alias("t"))
+        # the job that writes the step counts the pointers that moved
+        jumped, seen = cut_counting(parents.join(up, "p").join(top, "g").select("v", F.col("p").alias("old"), F.col("t").alias("p")), moved=F.count_if(F.col("old") != F.col("p")))
+        parents = jumped.select("v", "p")
+        if not seen["moved"]:
             return parents
 
 
@@ -66,18 +66,18 @@ def components(edges: DataFrame) -> DataFrame:
     edges give no rows.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e = cut(e)
+    e, left = cut_counting(e, n=F.count(F.lit(1)))
     label = None
-    while not e.isEmpty():
+    while left["n"]:
         root = _collapse(cut(_hook(e)))
         if label is None:
             label = root.select(F.col("v").alias("id"), F.col("p").alias("root"))
         else:
-            label = cut(label.join(root, label["root"] == root["v"], "left").select("id", F.coalesce("p", "root").alias("root")))
+            label = label.join(root, label["root"] == root["v"], "left").select("id", F.coalesce("p", "root").alias("root"))
         ra = root.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         rb = root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        e = e.join(ra, "a").join(rb, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        e = cut(e)
+        # every component doubles at least per round, so the labels' plan stays a few joins over checkpoints
+        e, left = cut_counting(e.join(ra, "a").join(rb, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n=F.count(F.lit(1)))
     if label is None:
         return e.select(F.col("a").alias("group_id"), F.col("b").alias("id"))
     first = label.groupBy("root").agg(F.min("id").alias("group_id"))

@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import cut
+from shelfmark.session import collect_small, cut_counting
 
-#: Items in a group, about.
-GROUP_ITEMS = 20_000
+#: Items in a group, about; kinds of containers there may be (more is an error); tasks that pack, at most.
+GROUP_ITEMS, KINDS, TASKS = 20_000, 1000, 10_000
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -57,9 +57,9 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
     are packed each. The outcome depends on keys and sizes only, not on how the rows were spread.
     """
     kind = items.schema[key].dataType.simpleString()
-    kinds = {r[0]: r[1] for r in containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")).limit(1000).collect()}
-    items = cut(items.select(key, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("tokens")))  # the sizes are used twice
-    groups = max(1, math.ceil(items.count() / GROUP_ITEMS))
+    kinds = {r[0]: r[1] for r in collect_small(containers.where("capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens")), KINDS)}
+    items, seen = cut_counting(items.select(key, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("tokens")), n=F.count(F.lit(1)))  # counted while written
+    groups = max(1, math.ceil(seen["n"] / GROUP_ITEMS))
     spread = items.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(groups)).cast("int")).withColumn("_k", F.explode(F.array(*(F.lit(k) for k in sorted(kinds)))) if kinds else F.lit(None).cast("string"))
     if not kinds:
         spread = spread.where("false")
@@ -98,5 +98,6 @@ def pack(items: DataFrame, containers: DataFrame, key: str = "doc_id", size: str
             yield fill(*now, pa.concat_arrays([p for p, _ in parts]), np.concatenate([t for _, t in parts]))
 
     # an item order that is the same on every run: by a hash of the key
-    placed = spread.repartition("_g", "_k").sortWithinPartitions("_g", "_k", F.xxhash64(key), key, "tokens")
+    # packing is all work and little data: a task per group and kind, which adaptive execution would merge by their bytes
+    placed = spread.repartition(max(1, min(TASKS, groups * len(kinds))), "_g", "_k").sortWithinPartitions("_g", "_k", F.xxhash64(key), key, "tokens")
     return placed.select("_g", "_k", key, "tokens").mapInArrow(run, schema)

@@ -19,13 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import cut
+from shelfmark.session import collect_small, cut
+
+#: Subjects there may be.
+AREAS = 1000
 
 
 @dataclass(frozen=True)
 class Settings:
     """sample: labelled records that train the model, about (the bound); buckets, dimensions: of the embedding table;
-    seen: sample records a token must occur in; shares: partitions of the sample; steps, rate, dropout: of the training;
+    seen: sample records a token must occur in (a fiftieth of the sample's records where that is less, so that a small
+    sample keeps some); shares: partitions of the sample; steps, rate, dropout: of the training;
     trusted: step from which labels the model flatly contradicts no longer count; at_least: probability that makes a
     subject; familiar: share of an unknown word's n-grams that must be trained ones for it to count."""
 
@@ -117,8 +121,8 @@ class Model:
 
 
 def labelled(labels: DataFrame, areas: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(id, y): positions of each id's distinct subjects among the codes (at most a few hundred); unknown codes and nulls are left out."""
-    codes = [r[0] for r in areas.where("subject_code is not null").select("subject_code").distinct().orderBy("subject_code").limit(1000).collect()]
+    """(id, y): positions of each id's distinct subjects among the codes (at most AREAS, more is an error); unknown codes and nulls are left out."""
+    codes = sorted(r[0] for r in collect_small(areas.where("subject_code is not null").select("subject_code").distinct(), AREAS))
     at = F.array_position(F.array(*(F.lit(c) for c in codes)), F.col("subject_code")) - 1 if codes else F.lit(-1)
     return labels.where("id is not null").select("id", at.cast("int").alias("k")).where("k >= 0").groupBy("id").agg(F.array_sort(F.collect_set("k")).alias("y")), codes
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import informative, strip
+from shelfmark.session import stored
 
 FIELDS = ("dataset_name", "dataset_desc", "dataset_url", "source")
 #: Fields whose values can be damaged; True: text of sentences, which end in a sign.
@@ -53,14 +54,17 @@ def tokens(value: str) -> tuple[str, ...]:
     return tuple(TOKEN.findall(text))
 
 
-def marked(value: str, sentences: bool) -> bool:
-    """Damage that shows in the value itself."""
+def marked(value: str, sentences: bool = False) -> bool:
+    """Damage that shows in the value itself: lost or misread letters, an ellipsis at the end, in a name a bracket left open."""
     text = MARKUP.sub("", value)
     if LOST in text or MISREAD.search(text) or ELLIPSIS.search(text):
         return True
-    if sentences:
-        return not SENTENCE_END.search(text)
-    return len(OPEN.findall(text)) > len(CLOSE.findall(text))
+    return not sentences and len(OPEN.findall(text)) > len(CLOSE.findall(text))
+
+
+def doubtful(value: str, field: str) -> bool:
+    """Values whose votes count less: marked ones, and descriptions that stop within a sentence."""
+    return field in TEXTS and (marked(value, TEXTS[field]) or (TEXTS[field] and not SENTENCE_END.search(MARKUP.sub("", value))))
 
 
 def same(a: str, b: str) -> bool:
@@ -114,21 +118,29 @@ def align(columns: list[str], value: tuple[str, ...]) -> list[tuple[int, int]]:
 
 
 def consensus(values: list[tuple[tuple[str, ...], float]]) -> list[str]:
-    """The tokens that win their columns' votes. ``values``: (tokens, weight); taken by weight, then length, then text.
+    """The tokens that win their columns' votes; see ``agreement``."""
+    return agreement([(t, w, 1) for t, w in values])[0]
+
+
+def agreement(values: list[tuple[tuple[str, ...], float, int]]) -> tuple[list[str], int]:
+    """(the tokens that win their columns' votes, how many of them, from the first, are firm).
 
-    A value doesn't vote on columns after its last token: one that was cut off can't outvote the rest of the others.
+    ``values``: (tokens, weight, records); taken by weight, then length, then text. A value doesn't vote on columns after
+    its last token: one that was cut off can't outvote the rest of the others. A column is firm if two records or more,
+    and two thirds of all, go at least that far.
     """
     values = sorted(values, key=lambda x: (-x[1], -len(x[0]), x[0]))
     profile: list[dict[str, float]] = []
     passed: list[float] = []
-    before = 0.0
-    for tok, weight in values:
+    reach: list[int] = []
+    before, met = 0.0, 0
+    for tok, weight, records in values:
         lead = [max(c.items(), key=lambda x: (x[1], x[0]))[0] for c in profile]
         path = align(lead, tok)
         last = max((k for k, (_, j) in enumerate(path) if j >= 0), default=-1)
-        grown, silent = [], []
+        grown, silent, far = [], [], []
         for k, (i, j) in enumerate(path):
-            column, gaps = (profile[i], passed[i]) if i >= 0 else ({}, before)
+            column, gaps, gone = (profile[i], passed[i], reach[i]) if i >= 0 else ({}, before, 0)
             if j >= 0:
                 t = next((x for x in column if fits(x, tok, j)), tok[j])
                 if HOLE in t and HOLE not in tok[j]:
@@ -139,27 +151,53 @@ def consensus(values: list[tuple[tuple[str, ...], float]]) -> list[str]:
                 gaps += weight
             grown.append(column)
             silent.append(gaps)
-        profile, passed = grown, silent
+            far.append(gone + (records if k <= last else 0))
+        # a column that only this value has was passed by all that go further
+        for k in range(len(far) - 2, -1, -1):
+            far[k] = max(far[k], far[k + 1])
+        profile, passed, reach = grown, silent, far
         before += weight
-    won = []
-    for column, gaps in zip(profile, passed):
+        met += records
+    won, firm = [], 0
+    for column, gaps, gone in zip(profile, passed, reach):
         token, votes = max(column.items(), key=lambda x: (x[1], x[0]))
         if votes >= gaps or sum(column.values()) > gaps:
             won.append(token)
-    return won
+            if gone >= 2 and 3 * gone >= 2 * met:
+                firm = len(won)
+    return won, firm
 
 
-def verdict(value: str, agreed: list[str], field: str) -> tuple[bool, int]:
-    """(damaged, distance): tokens that differ from the consensus, and whether the value is cut off or wrongly decoded."""
+def verdict(value: str, agreed: list[str], field: str, firm: int = 0) -> tuple[bool, int]:
+    """(damaged, distance): tokens that differ from the consensus, and whether the value is cut off or wrongly decoded.
+
+    A name is cut off where the consensus goes on, in the word or after it. So is a description that ends within a word
+    of the consensus, or before the end of its firm part; one that stops without the sign of a sentence is, too, unless
+    all the consensus is firm and ends there with it. A description that agrees with little of the consensus is judged by its
+    own end alone.
+    """
     tok = tokens(value)
     path = align(agreed, tok)
     distance = sum(1 for i, j in path if i < 0 or j < 0 or not same(agreed[i], tok[j]))
+    if field not in TEXTS:
+        return False, distance
+    if marked(value, TEXTS[field]):
+        return True, distance
+    if TEXTS[field]:
+        ended = bool(SENTENCE_END.search(MARKUP.sub("", value)))
+        own = sum(1 for i, j in path if j >= 0 and (i < 0 or not fits(agreed[i], tok, j)))
+        if not tok or 4 * own > len(tok):
+            return not ended, distance
+        end = 1 + max((i for i, j in path if j >= 0), default=-1)
+        here = next((i for i, j in path if j == len(tok) - 1), -1)
+        cut_word = here >= 0 and len(tok[-1]) < len(agreed[here]) and same(tok[-1], agreed[here][: len(tok[-1])])
+        if ended:
+            return end < firm, distance
+        return cut_word or end < len(agreed) or firm < len(agreed), distance
     damaged = False
-    if field in TEXTS:
-        damaged = marked(value, TEXTS[field])
-        if not damaged and not TEXTS[field] and tok and len(tok) <= len(agreed) and all(same(x, y) for x, y in zip(tok[:-1], agreed)):
-            here, whole = tok[-1], agreed[len(tok) - 1]
-            damaged = (len(here) < len(whole) and same(here, whole[: len(here)])) or (same(here, whole) and len(tok) < len(agreed))
+    if tok and len(tok) <= len(agreed) and all(same(x, y) for x, y in zip(tok[:-1], agreed)):
+        here, whole = tok[-1], agreed[len(tok) - 1]
+        damaged = (len(here) < len(whole) and same(here, whole[: len(here)])) or (same(here, whole) and len(tok) < len(agreed))
     return damaged, distance
 
 
@@ -178,36 +216,41 @@ def _by_group(batches, of: int):
 
 
 def _build(batches):
-    """(group, field, block, value, weight) sorted -> (group, field, value, weight): each block's consensus, its tokens joined by blanks."""
+    """(group, field, block, value, weight, records, firm) sorted -> (group, field, value, weight, records, firm): each block's consensus, its tokens joined by blanks."""
+    names = ("group", "field", "value", "weight", "records", "firm")
     out = []
     for (group, field, _), rows in _by_group(batches, 3):
-        votes: dict[tuple[str, ...], float] = {}
-        for value, weight in rows:
-            bad = field in TEXTS and marked(value, TEXTS[field])
+        votes: dict[tuple[str, ...], list] = {}
+        for value, weight, records, _ in rows:
             t = tokens(value)
-            votes[t] = votes.get(t, 0.0) + weight * (0.25 if bad else 1.0)
-        out.append((group, field, " ".join(consensus(list(votes.items()))), float(sum(votes.values()))))
+            mine = votes.setdefault(t, [0.0, 0])
+            mine[0] += weight * (0.25 if doubtful(value, field) else 1.0)
+            mine[1] += records
+        won, firm = agreement([(t, w, n) for t, (w, n) in votes.items()])
+        if len(rows) == 1 and rows[0][3] is not None:
+            firm = rows[0][3]  # a group that was whole a level before
+        out.append((group, field, " ".join(won), float(sum(w for w, _ in votes.values())), sum(n for _, n in votes.values()), firm))
         if len(out) >= 2000:
-            yield _batch(out, ("group", "field", "value", "weight"))
+            yield _batch(out, names)
             out = []
     if out:
-        yield _batch(out, ("group", "field", "value", "weight"))
+        yield _batch(out, names)
 
 
 def _batch(rows, names):
-    kinds = {"weight": pa.float64(), "damaged": pa.bool_(), "distance": pa.int32()}
+    kinds = {"weight": pa.float64(), "records": pa.int64(), "damaged": pa.bool_(), "distance": pa.int32(), "firm": pa.int32()}
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.string())) for i, n in enumerate(names)], list(names))
 
 
 def _judge(batches):
-    """(group, field, value, agreed) -> with damaged and distance."""
+    """(group, field, value, agreed, firm) -> with damaged and distance."""
     for b in batches:
         out, seen = [], {}
-        for group, field, value, agreed in zip(*(c.to_pylist() for c in b.columns)):
+        for group, field, value, agreed, firm in zip(*(c.to_pylist() for c in b.columns)):
             k = (group, field)
             if k not in seen:
                 seen = {k: (agreed or "").split()}
-            out.append((group, field, value, *verdict(value, seen[k], field)))
+            out.append((group, field, value, *verdict(value, seen[k], field, firm)))
         yield _batch(out, ("group", "field", "value", "damaged", "distance"))
 
 
@@ -222,21 +265,28 @@ def field_values(records: DataFrame) -> DataFrame:
 
 
 def judged(values: DataFrame) -> DataFrame:
-    """(group, field, value, damaged, distance) of every distinct value, held against its group's consensus."""
-    votes = values.groupBy("group", "field", "value").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    level, first = votes, True
+    """(group, field, value, damaged, distance) of every distinct value, held against its group's consensus.
+
+    Groups of up to BLOCK distinct values are aligned at once. Larger ones are dealt to blocks by a hash of the value, and
+    the blocks' consensus texts aligned in turn, level by level, so that no task gathers a group.
+    """
+    votes = values.groupBy("group", "field", "value").agg(F.count(F.lit(1)).alias("records"))
+    level = votes.withColumns({"weight": F.col("records").cast("double"), "firm": F.lit(None).cast("int")})
+    largest = level.groupBy("group", "field").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     while True:
-        blocks = F.ceil(F.col("_n") / BLOCK)
         counts = level.groupBy("group", "field").agg(F.count(F.lit(1)).alias("_n"))
-        placed = level.join(counts, ["group", "field"]).withColumn("block", F.pmod(F.xxhash64("value"), blocks).cast("int"))
-        large = not counts.where(F.col("_n") > BLOCK).isEmpty()
-        ready = placed.select("group", "field", "block", "value", "weight")
+        placed = level.join(counts, ["group", "field"]).withColumn("block", F.pmod(F.xxhash64("value"), F.ceil(F.col("_n") / BLOCK)).cast("string"))
+        large = largest > BLOCK
+        ready = placed.select("group", "field", "block", "value", "weight", "records", "firm")
         ready = (ready.repartition("group", "field", "block") if large else ready).sortWithinPartitions("group", "field", "block", "value")
-        level = ready.select("group", "field", F.col("block").cast("string").alias("block"), "value", "weight").mapInArrow(_build, "group string, field string, value string, weight double")
+        level = ready.mapInArrow(_build, "group string, field string, value string, weight double, records bigint, firm int")
         if not large:
             break
-    agreed = level.select("group", "field", F.col("value").alias("agreed"))
-    return votes.select("group", "field", "value").join(agreed, ["group", "field"]).sortWithinPartitions("group", "field").select("group", "field", "value", "agreed").mapInArrow(_judge, "group string, field string, value string, damaged boolean, distance int")
+        level = stored(level)
+        largest = -(-largest // BLOCK)  # as many blocks as the largest group had
+    agreed = level.select("group", "field", F.col("value").alias("agreed"), "firm")
+    x = votes.select("group", "field", "value").join(agreed, ["group", "field"]).sortWithinPartitions("group", "field")
+    return x.select("group", "field", "value", "agreed", "firm").mapInArrow(_judge, "group string, field string, value string, damaged boolean, distance int")
 
 
 def hidden_sources(status: DataFrame) -> DataFrame:
@@ -252,7 +302,7 @@ def survivors(records: DataFrame, status: DataFrame) -> DataFrame:
     harvested_at (null last), then the smaller id. nearest is the id whose value is closest to the consensus (ties: the
     same order). Groups are those of two or more rows with one non-null canonical_id.
     """
-    values = field_values(records)
+    values = stored(field_values(records))  # read for the votes, the consensus and the order
     hidden = hidden_sources(status).withColumn("hidden", F.lit(1))
     x = values.join(judged(values), ["group", "field", "value"]).join(hidden, F.lower(strip(F.col("source"))) == F.col("k"), "left")
     order = [F.coalesce("hidden", F.lit(0)), -F.coalesce(F.unix_micros(F.col("harvested_at").cast("timestamp")), F.lit(-(2**62))), F.col("id")]

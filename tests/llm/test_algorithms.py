@@ -74,6 +74,13 @@ def test_consensus_votes_and_damage():
     assert v("Alpha beta gam")[0] and v("Alpha beta")[0] and v("Alpha beta gamma...")[0] and v("Alph� beta gamma delta") == (True, 0)
     assert v("Alpha bÃ©ta gamma delta")[0] and not v("Other words here entirely")[0]
     assert survivors.verdict("One. Two", ["one", "two"], "dataset_desc")[0] and not survivors.verdict("One. Two.", ["one", "two"], "dataset_desc")[0]
+    # descriptions: cut after a sentence that the others go on from; whole without a final sign where all agree; a note one copy adds cuts nobody off
+    whole, short, noted = "One two three. Four five six.", "One two three.", "One two three. Four five six. Seen in week eight."
+    said = lambda *v: survivors.agreement([(t(x), float(v.count(x)), v.count(x)) for x in dict.fromkeys(v)])
+    d = lambda x, v: survivors.verdict(x, v[0], "dataset_desc", v[1])[0]
+    assert d(short, said(whole, whole, short)) and not d(whole, said(whole, whole, short)) and d("One two three. Four fi", said(whole, whole, "One two three. Four fi"))
+    assert not d("one two three", said("one two three", "One two three")) and d("One two thr", said("One two three.", "One two thr")) and d("One two. Three", said("One two.", "One two. Three"))
+    assert not d(whole, said(whole, noted)) and not d(noted, said(whole, noted)) and not d("Other text.", said(whole, whole, "Other text."))
     assert survivors.consensus([]) == [] and survivors.verdict("", [], "source") == (False, 0)
     assert survivors.repaired("RÃ©sumÃ©") == "Résumé" and t("数据 集x") == ("数", "据", "集", "x")
 
