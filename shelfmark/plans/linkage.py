@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from shelfmark.functions.hashing import simhash as simhash_of
@@ -15,7 +17,9 @@ from shelfmark.functions.vector import cosine, norm, unit, usable, vectors_of
 from shelfmark.operators import blocking, dedup
 from shelfmark.operators.components import components as grouped
 from shelfmark.operators.monitor import policy
+from shelfmark.params import DEDUP
 from shelfmark.plans.common import CUR, WS, registry, strip
+from shelfmark.session import stored
 from shelfmark.sources.tables import current, table
 
 QUERIES, ORACLES, query = registry()
@@ -64,7 +68,15 @@ def record_text(spark, folder):
     return dedup.normalized(_current(spark, folder, *FIELDS)).select("id", "text")
 
 
-@query()
+BLANKS = strip("coalesce(dataset_url, '')")
+PAGE = rf"""pg0 as (select id, regexp_replace({BLANKS}, '#.*$', '') x from cur),
+pg1 as (select id, x, regexp_replace(regexp_replace(lower(regexp_extract(x, '{SPLIT}', 2)), ':(80|443)$', ''), '\.$', '') host, regexp_extract(x, '{SPLIT}', 3) path0, regexp_extract(x, '\?(.*)$', 1) q0 from pg0),
+pg2 as (select id, host, regexp_replace(regexp_replace(regexp_replace(case when contains(path0, '%') then url_decode(path0) else path0 end, '/{{2,}}', '/', 'g'), '/(?i:index\.html?)$', ''), '/+$', '') path,
+ list_sort(list_filter(string_split(q0, '&'), lambda p: p <> '' and not starts_with(lower(p), 'utm_'))) kept from pg1),
+pg as (select id, case when host <> '' and (path <> '' or len(kept) > 0) then host || path || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end page from pg2)"""
+
+
+@query(f"with {CUR}, {PAGE} select id, page from pg")
 def page_keys(spark, folder):
     """One text per page, however its address is written."""
     return _current(spark, folder, "dataset_url").select("id", page(F.col("dataset_url")).alias("page"))
@@ -89,10 +101,11 @@ H = "('0x' || substr(md5(t), 17, 16))::UBIGINT"
 SIGNED = "(case when {0}::HUGEINT >= 9223372036854775808 then {0}::HUGEINT - 18446744073709551616 else {0}::HUGEINT end)::BIGINT"
 
 
-@query(f"with {CUR}, t as (select distinct unnest({TOKENS.format('dataset_name')}) t from cur) select t as token, {SIGNED.format(H)} hash from t")
+@query(f"with {CUR}, {NORM}, t as (select distinct unnest({TOKENS.format('text')}) t from norm) select t as token, {SIGNED.format(H)} hash from t")
 def token_hash(spark, folder):
-    """64-bit hash of every distinct token of the names."""
-    return _current(spark, folder, "dataset_name").select(F.explode(words(F.col("dataset_name"))).alias("token")).distinct().select("token", hash_of(F.col("token")).alias("hash"))
+    """64-bit hash of every distinct token of the records' texts."""
+    texts = dedup.normalized(_current(spark, folder, *FIELDS))
+    return texts.select(F.explode(words(F.col("text"))).alias("token")).distinct().select("token", hash_of(F.col("token")).alias("hash"))
 
 
 _BITS = " + ".join(f"(case when b{i} >= 0 then 1::HUGEINT << {i} else 0 end)" for i in range(64))
@@ -186,27 +199,60 @@ def mapping_chain(spark, folder):
     return dedup.chained(stored, stored)
 
 
-@query()
+USABLE = "len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+OWN = f"own as (select id, min(embedding) e from seda_dataset_vectors where id is not null and {USABLE} group by 1)"
+UNIT = "un as (select id, list_transform(e, lambda x: x::double / (sqrt(list_dot_product(e::double[], e::double[])) + 1e-9)) v from own where id in (select id from cur))"
+BUCKETS = f"bk as (select id, unnest([{_BANDS}]) bucket from sh)"
+_PLANE = "sqrt(-2 * ln((('0x' || substr(md5(term || '#{0}'), 1, 8))::UBIGINT::double + 1) / 4294967297.0)) * cos(2 * pi() * ((('0x' || substr(md5(term || '#{0}'), 9, 8))::UBIGINT::double + 1) / 4294967297.0))"
+_PLANES = ", ".join(f"{_PLANE.format(i)} g{i}" for i in range(16))
+_SIGNS = " + ".join(f"case when coalesce(sum(w * g{i}), 0) >= 0 then {1 << i} else 0 end" for i in range(16))
+LSH = rf"""lt as (select id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}')) term from norm), lf as (select id, term, count(*) tf from lt group by 1, 2),
+ln_ as (select count(*) n from norm), ld as (select term, count(*) df, sum(tf) cf from lf group by 1 order by cf desc, term limit 20000),
+lw as (select id, term, tf * (ln((1 + n) / (1 + df)) + 1) w from lf join ld using (term), ln_), lp as (select term, {_PLANES} from (select distinct term from lw)),
+sg as (select norm.id, ({_SIGNS})::int signature from norm left join lw using (id) left join lp using (term) group by 1)"""
+MATES = f"""{OWN}, {UNIT}, mk as (select un.id, v, simhash, signature from un join sh using (id) join sg using (id)),
+cb as (select id, bucket from bk where id in (select id from un) union select id, 'lsh:' || signature from mk),
+vl as (select distinct x.id src, y.id dst from cb x join cb y on x.bucket = y.bucket and x.id < y.id join un a on a.id = x.id join un b on b.id = y.id where list_dot_product(a.v, b.v) >= 0.82)"""
+
+
+@query(f"with recursive {CUR}, {NORM}, {EXPLICIT.replace('lk as', 'ek as')}, {SIM}, {BUCKETS}, {LSH}, {MATES}, lk as (select src, dst from ek union select src, dst from vl), {REACH}, {PICK}, {MAPPED} select id, canonical_id from mp")
 def dedup_mapping(spark, folder):
     """Canonical id of every record by exact and semantic matches; the flagship."""
     return dedup.deduplicate(_current(spark, folder, *FIELDS), table(spark, folder, "seda_dataset_vectors"))
 
 
-@query()
-def semantic_links(spark, folder):
-    """Bucket mates whose vectors agree, as stars."""
+def _normed(spark, folder):
     records = _current(spark, folder, *FIELDS)
-    return dedup.semantic_links(dedup.normalized(records), vectors_of(records, table(spark, folder, "seda_dataset_vectors"), 64))
+    return stored(dedup.normalized(records)), vectors_of(records, table(spark, folder, "seda_dataset_vectors"), 64)
 
 
-@query()
+@query(f"with recursive {CUR}, {NORM}, {SIM}, {BUCKETS}, {LSH}, {MATES}, lk as (select src, dst from vl), {REACH} select id, component from cc")
+def semantic_links(spark, folder):
+    """Class of every record that shares a bucket with one whose vector agrees."""
+    return grouped(dedup.semantic_links(*_normed(spark, folder)))
+
+
+@query(f"with recursive {CUR}, {NORM}, {SIM}, {BUCKETS}, {LSH}, {MATES}, lk as (select src, dst from vl), {REACH} select id, component from cc")
+def bucket_links(spark, folder):
+    """The same by comparing all members of every bucket: exact, and quadratic."""
+    return grouped(dedup.bucket_links(*_normed(spark, folder)))
+
+
+@query(f"with {CUR}, {NORM}, {LSH} select id, signature from sg")
 def lsh_signature(spark, folder):
     """Random-projection signature of every record's TF-IDF vector."""
-    return blocking.lsh_signatures(dedup.normalized(_current(spark, folder, *FIELDS)).select("id", "text"))
+    return blocking.lsh_signatures(stored(dedup.normalized(_current(spark, folder, *FIELDS))).select("id", "text"))
 
 
-USABLE = "len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
-OWN = f"own as (select id, min(embedding) e from seda_dataset_vectors where id is not null and {USABLE} group by 1)"
+@query("""with un as (select vec_id, label, list_transform(embedding, lambda x: x::double / (sqrt(list_dot_product(embedding::double[], embedding::double[])) + 1e-9)) v from embeddings),
+k as (select 'label:' || a.label bucket, a.vec_id::varchar id, b.vec_id::varchar other, list_dot_product(a.v, b.v) cosine from un a join un b on a.label = b.label),
+r as (select *, row_number() over (partition by bucket, id order by cosine desc, other) rn from k) select bucket, id, other, round(cosine, 6) cosine from r where rn <= 50 and id <> other and cosine >= 0.2""")
+def nearest_mates(spark, folder):
+    """Of every vector's 50 nearest in its bucket (one per label), itself counted, those above a threshold (0.2: these vectors lie far apart)."""
+    e = table(spark, folder, "embeddings")
+    ids = F.col("vec_id").cast("string").alias("id")
+    near = blocking.nearest_mates(e.select(F.concat(F.lit("label:"), F.col("label").cast("string")).alias("bucket"), ids), e.select(ids, unit(F.col("embedding")).alias("v")), replace(DEDUP, threshold=0.2))
+    return near.withColumn("cosine", F.round("cosine", 6))
 
 
 @query(f"with {OWN} select id, round(sqrt(list_sum(list_transform(e, lambda x: x::double * x::double))), 4) norm, 64 dimensions from own")
@@ -225,7 +271,8 @@ def canonical_cosine(spark, folder):
     return x.select("id", "canonical_id", F.round(cosine(F.col("x"), F.col("y")), 5).alias("cosine"))
 
 
-@query()
+@query(f"""with {CUR}, {NORM}, {SIM}, {BUCKETS}, {OWN}, {UNIT}, sz as (select bucket, count(*) > 500 oversized from bk group by 1)
+select bucket, case when oversized then (trunc(list_sum(list_slice(v, 1, 10)) * 1000)::bigint % 50 + 50) % 50 + 1 else 0 end::int sub, count(*) n from bk join sz using (bucket) join un using (id) group by 1, 2""")
 def sub_buckets(spark, folder):
     """Second-level buckets of the oversized SimHash buckets, and their sizes."""
     records = _current(spark, folder, *FIELDS)

@@ -149,7 +149,11 @@ def snapshot_upsert(spark, folder):
     return monitor.upsert_snapshot(table(spark, folder, "seda_source"), _round(spark, folder), now()).drop("id")
 
 
-@query()
+UUID5 = r"""substr(h, 1, 12) || '5' || substr(h, 14, 3) || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 15)"""
+
+
+@query(f"""with {ALL}, hs as (select *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(site || '-1767225600.0')) h from rd)
+select {UUID5} id, site ext_host_name, link_num, alive_rate link_rate, status, {NOW_SQL} detect_date, {NOW_SQL} create_time, {NOW_SQL} update_time from hs""")
 def history_append(spark, folder):
     """The round's rows for the history, with their name-based ids."""
     return monitor.history_rows(_round(spark, folder), now())
