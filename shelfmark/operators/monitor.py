@@ -74,12 +74,12 @@ def allocate(state: DataFrame, p: Monitor = MONITOR) -> DataFrame:
     return x.join(total, F.lit(True)).withColumn("k", F.when(F.col("is_hidden") == 1, F.lit(p.k_min)).otherwise(k).cast("bigint")).drop("_w")
 
 
-def sample(records: DataFrame, plan: DataFrame, seed: str = "round") -> DataFrame:
+def sample(records: DataFrame, plan: DataFrame, seed: str = "round", p: Monitor = MONITOR) -> DataFrame:
     """(site, url, name): exactly k addresses of each site (all if fewer), drawn by the MD5 of seed and address; empty ones never."""
     urls = records.where("dataset_url != ''").select(F.lower(strip(F.col("source"))).alias("site"), F.col("dataset_url").alias("url"), F.col("dataset_name").alias("name"), "id")
     w = W.partitionBy("site").orderBy(F.md5(F.concat(F.lit(seed), F.col("url"))), "url", "id")
-    most = int(plan.agg(F.max("k")).first()[0] or 0)  # one number, with which the window prunes before its shuffle
-    top = urls.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most).join(plan.select("site", "k"), "site")
+    # no site gets more than the whole budget, or than hidden ones do: a bound known beforehand, with which the window prunes before its shuffle
+    top = urls.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= max(p.budget, p.k_min)).join(plan.select("site", "k"), "site")
     return top.where(F.col("rn") <= F.col("k")).select("site", "url", "name")
 
 
@@ -125,16 +125,45 @@ def streaks(history: DataFrame, p: Monitor = MONITOR) -> DataFrame:
 
     fail_streak counts the failures in a row up to now; a site is hidden once the streak reaches the threshold and
     stays so; first_hidden is when; var5 the sample variance of the last five rates.
+
+    No task orders a site's whole history: it is cut by ``period`` of time, each period told on its own, and what it hands
+    on (the streak at its end, its last rates) follows from one small row per site and period.
     """
-    x = history.where("ext_host_name is not null and detect_date is not null").select(F.col("ext_host_name").alias("site"), "detect_date", "id", "link_rate", F.when(F.col("status") == PASS, 0).otherwise(1).alias("failed")).distinct()
-    w = W.partitionBy("site").orderBy("detect_date", F.asc_nulls_first("id"), F.asc_nulls_first("link_rate"))
-    x = x.withColumn("_g", F.sum(1 - F.col("failed")).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    island = W.partitionBy("site", "_g").orderBy("detect_date", F.asc_nulls_first("id"), F.asc_nulls_first("link_rate")).rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("fail_streak", F.sum("failed").over(island))
-    over = F.when(F.col("fail_streak") >= p.fail_threshold, F.col("detect_date"))
-    x = x.withColumn("first_hidden", F.min(over).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    var = F.coalesce(F.var_samp("link_rate").over(w.rowsBetween(-(p.window - 1), 0)), F.lit(0.0))
-    return x.withColumn("var5", var).select("site", "detect_date", "id", "failed", "fail_streak", F.col("first_hidden").isNotNull().cast("int").alias("is_hidden"), "first_hidden", "var5")
+    x = history.where("ext_host_name is not null and detect_date is not null").select(F.col("ext_host_name").alias("site"), F.date_trunc(p.period, "detect_date").alias("_p"), "detect_date", "id", "link_rate", F.when(F.col("status") == PASS, 0).otherwise(1).alias("failed"))
+    x = x.distinct()
+    order = ["detect_date", F.asc_nulls_first("id"), F.asc_nulls_first("link_rate")]
+    part = W.partitionBy("site", "_p").orderBy(*order)
+    frame = lambda n: part.rowsBetween(1 - n, 0)
+    so_far = part.rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumns({
+        "_g": F.sum(1 - F.col("failed")).over(so_far), "_rn": F.row_number().over(part), "_var": F.var_samp("link_rate").over(frame(p.window)), "_last": F.collect_list(F.struct("link_rate")).over(frame(p.window)),
+    })
+    x = x.withColumn("_s", F.sum("failed").over(W.partitionBy("site", "_p", "_g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    by_site = W.partitionBy("site").orderBy("_p")  # a row per period
+    short = F.when(F.size("e._last") < p.window, F.col("e._last")).otherwise(F.slice("e._last", 2, p.window - 1))
+    ends = x.groupBy("site", "_p").agg(F.max(F.struct("_rn", "_g", "_s", "_last")).alias("e")).select("site", "_p", F.col("e._g").alias("g"), F.col("e._s").alias("s"), short.alias("l"))
+    ends = ends.withColumn("r", F.sum((F.col("g") > 0).cast("int")).over(by_site.rowsBetween(W.unboundedPreceding, 0)))
+    ends = ends.withColumn("out", F.sum("s").over(W.partitionBy("site", "r").orderBy("_p").rowsBetween(W.unboundedPreceding, 0)))
+    handed = F.flatten(F.collect_list("l").over(by_site.rowsBetween(1 - p.window, -1)))
+    ends = ends.select("site", "_p", F.coalesce(F.lag("out").over(by_site), F.lit(0)).alias("_in"), handed.alias("_before"))
+    x = x.join(ends, ["site", "_p"]).withColumn("fail_streak", F.col("_s") + F.when(F.col("_g") == 0, F.col("_in")).otherwise(0))
+    # in the first rows of a period the last rates reach back into those before
+    all_ = F.concat("_before", "_last")
+    five = F.filter(F.transform(F.slice(all_, F.greatest(F.size(all_) - p.window + 1, F.lit(1)), p.window), lambda r: r["link_rate"]), lambda v: v.isNotNull())
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a, v):  # as the built-in aggregate adds a value, so that both round alike
+        delta = v - a["mean"]
+        part = delta / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), (a["mean"] + part).alias("mean"), (a["m2"] + delta * (delta - part)).alias("m2"))
+
+    few = F.aggregate(five, zero, step, lambda a: F.when(a["n"] >= 2, a["m2"] / (a["n"] - 1)))
+    var = F.when(F.col("_rn") >= p.window, F.col("_var")).otherwise(few)
+    x = x.withColumn("var5", F.coalesce(var, F.lit(0.0)))
+    at = F.struct("detect_date", "id", "link_rate")
+    hidden = x.where(F.col("fail_streak") >= p.fail_threshold).groupBy("site").agg(F.min(at).alias("_f"))  # a row per site
+    since = F.coalesce(at >= F.col("_f"), F.lit(False))
+    return x.join(hidden, "site", "left").select("site", "detect_date", "id", "failed", "fail_streak", since.cast("int").alias("is_hidden"), F.when(since, F.col("_f.detect_date")).alias("first_hidden"), "var5")
 
 
 def history_id(site: Column, moment: Column) -> Column:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfmark.functions.vector import unit
 from shelfmark.functions.text import blank_split, strip, tag_key, tag_parts, words
 from shelfmark.params import TAGGING, Tagging
 from shelfmark import session
+from shelfmark.session import stored
 from shelfmark.plugins import Chooser, Encoder, encoded, first_candidates, hashing_encoder
 
 #: Tags up to which a vocabulary counts as small and is broadcast; checked where it matters.
@@ -102,10 +104,11 @@ def document_frequency(records: DataFrame, tags: DataFrame) -> DataFrame:
 
 def cooccurrence_edges(records: DataFrame, tags: DataFrame, p: Tagging = TAGGING) -> DataFrame:
     """(tag_1, tag_2, n12, weight): pairs contained in one record, weight n12/sqrt(n1*n2), at least the threshold; tag_1 < tag_2."""
-    sets = contained(records, tags).groupBy("tags").agg(F.count(F.lit(1)).alias("w")).where("size(tags) > 0")
+    sets = stored(contained(records, tags).groupBy("tags").agg(F.count(F.lit(1)).alias("w")).where("size(tags) > 0"))
     single = sets.select(F.explode("tags").alias("t"), "w").groupBy("t").agg(F.sum("w").alias("n"))
-    pairs = F.flatten(F.transform("tags", lambda a, i: F.transform(F.slice("tags", i + 2, F.size("tags")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    both = sets.select(F.explode(pairs).alias("p"), "w").groupBy(F.col("p.a").alias("tag_1"), F.col("p.b").alias("tag_2")).agg(F.sum("w").alias("n12"))
+    # two expansions, one after the other: the pairs of a long list never lie in one row
+    first = sets.select("tags", "w", F.posexplode("tags").alias("at", "tag_1")).select("tag_1", "w", F.explode(F.slice("tags", F.col("at") + 2, F.size("tags"))).alias("tag_2"))
+    both = first.groupBy("tag_1", "tag_2").agg(F.sum("w").alias("n12"))
     x = both.join(single.select(F.col("t").alias("tag_1"), F.col("n").alias("n1")), "tag_1").join(single.select(F.col("t").alias("tag_2"), F.col("n").alias("n2")), "tag_2")
     return x.withColumn("weight", F.col("n12") / F.sqrt(F.col("n1").cast("double") * F.col("n2"))).where(F.col("weight") >= p.edge).select("tag_1", "tag_2", "n12", "weight")
 
@@ -137,16 +140,44 @@ def pagerank(matrix: DataFrame, seeds: DataFrame, p: Tagging = TAGGING) -> DataF
     return score
 
 
+class Spread:
+    """Scores that one unit of start mass on a node spreads to; PageRank of several seeds is the mean of their rows.
+
+    Edges are kept sparse and rows made for the nodes asked for; the last ones stay in a memory of bounded size.
+    """
+
+    def __init__(self, size: int, edges: list[tuple[int, int, float]], p: Tagging = TAGGING, remembered: int = 1 << 25):
+        self.size, self.p, self.most, self.memory = size, p, max(1, remembered // max(1, size)), {}
+        by = sorted((j, i, share) for i, j, share in edges)
+        self.src, self.share = np.array([i for _, i, _ in by], np.int64), np.array([w for _, _, w in by], np.float64)
+        self.dst, self.first = np.unique(np.array([j for j, _, _ in by], np.int64), return_index=True)
+
+    def rows(self, nodes: list[int]) -> np.ndarray:
+        """One row per node."""
+        fresh = [n for n in dict.fromkeys(nodes) if n not in self.memory]
+        made = {}
+        step = max(1, (1 << 23) // max(1, len(self.src) + self.size))
+        for lo in range(0, len(fresh), step):
+            part = fresh[lo : lo + step]
+            start = np.zeros((len(part), self.size))
+            start[np.arange(len(part)), part] = 1
+            score = start
+            for _ in range(self.p.iterations):
+                walk = np.zeros_like(start)
+                if len(self.src):
+                    walk[:, self.dst] = np.add.reduceat(score[:, self.src] * self.share, self.first, axis=1)
+                score = (1 - self.p.restart) * walk + self.p.restart * start
+            made.update(zip(part, score))
+        out = np.array([made[n] if n in made else self.memory[n] for n in nodes]).reshape(-1, self.size)
+        if len(self.memory) + len(made) > self.most:
+            self.memory = {}
+        self.memory.update(list(made.items())[: self.most])
+        return out
+
+
 def diffusion(size: int, edges: list[tuple[int, int, float]], p: Tagging = TAGGING) -> np.ndarray:
-    """Row i: the scores that one unit of start mass on node i spreads to; PageRank of several seeds is the mean of their rows."""
-    a = np.zeros((size, size))
-    for i, j, share in edges:
-        a[i, j] += share
-    start = np.eye(size)
-    score = start
-    for _ in range(p.iterations):
-        score = (1 - p.restart) * score @ a + p.restart * start
-    return score
+    """Row i: the scores that one unit of start mass on node i spreads to."""
+    return Spread(size, edges, p).rows(list(range(size)))
 
 
 def known_tags(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -157,26 +188,27 @@ def known_tags(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def record_ranks(matrix: DataFrame, nodes: DataFrame, seeds: DataFrame, p: Tagging = TAGGING, top: int | None = None) -> DataFrame:
-    """(id, node, score): ``pagerank`` of every id's seeds (id, node) over a graph of a checked size (node); only the best of an id with ``top``.
+    """(id, node, score, rank): ``pagerank`` of every id's seeds (id, node) over a graph of a checked size (node); only the best of an id with ``top``.
 
     Each set of seeds is ranked once. Scores of 0 are left out; ties go to the larger node.
     """
     names = sorted({r[0] for r in collect_small(nodes.select("node").distinct())})
     at = {n: i for i, n in enumerate(names)}
-    spread = diffusion(len(names), [(at[r[0]], at[r[1]], r[2]) for r in collect_small(matrix.select("src", "dst", "p"), SMALL * 40)], p)
+    edges = [(at[r[0]], at[r[1]], r[2]) for r in collect_small(matrix.select("src", "dst", "p"), SMALL * 40)]
     sets = seeds.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("seeds"))
 
     def run(batches):
+        spread = Spread(len(names), edges, p)
         for b in batches:
             for own in b.column(0).to_pylist():
-                score = spread[[at[n] for n in own]].mean(0)
+                score = spread.rows([at[n] for n in own]).mean(0)
                 best = np.lexsort((np.arange(len(names)), score.round(9)))[::-1][:top]
                 best = [i for i in best if score[i] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best), b.column(0).type), pa.array([names[i] for i in best], b.column(0).type.value_type), pa.array(score[best])], ["seeds", "node", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best), b.column(0).type), pa.array([names[i] for i in best], b.column(0).type.value_type), pa.array(score[best]), pa.array(np.arange(1, len(best) + 1, dtype=np.int32))], ["seeds", "node", "score", "rank"])
 
     kind = sets.schema["seeds"].dataType.elementType.simpleString()
-    ranks = sets.select("seeds").distinct().mapInArrow(run, f"seeds array<{kind}>, node {kind}, score double")
-    return sets.join(ranks, "seeds").select("id", "node", "score")
+    ranks = sets.select("seeds").distinct().mapInArrow(run, f"seeds array<{kind}>, node {kind}, score double, rank int")
+    return sets.join(ranks, "seeds").select("id", "node", "score", "rank")
 
 
 def synonyms(vectors: list[tuple[str, np.ndarray]], p: Tagging = TAGGING) -> dict[str, str]:
@@ -204,6 +236,28 @@ def synonyms(vectors: list[tuple[str, np.ndarray]], p: Tagging = TAGGING) -> dic
     return out
 
 
+def synonyms_of(tag_vectors: DataFrame, p: Tagging = TAGGING, size: int = SMALL) -> dict[str, str]:
+    """``synonyms`` of a table (tag, embedding) of a checked size."""
+    return synonyms([(r[0], None if r[1] is None else np.array(r[1])) for r in collect_small(tag_vectors.select("tag", "embedding"), size)], p)
+
+
+def initial_graph(records: DataFrame, seed: DataFrame, encoder: Encoder = hashing_encoder, p: Tagging = TAGGING) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vocabulary (tag), its vectors (tag, embedding), edges (tag_1, tag_2, n12, weight)) that the initial mode builds.
+
+    The seed's tags with synonyms merged, and their co-occurrence over all records.
+    """
+    leaders = sorted(set(synonyms_of(encoded(seed, "tag", "tag", encoder), p).values()))
+    vocabulary = records.sparkSession.createDataFrame([(t,) for t in leaders], "tag string")
+    return vocabulary, encoded(vocabulary, "tag", "tag", encoder), cooccurrence_edges(records, vocabulary, p)
+
+
+def edges_by_id(edges: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(tag_id_1, tag_id_2, weight): edges between tags as they are stored, by the ids of a vocabulary (tag_id, tag_name); of names spelt alike the smallest."""
+    ids = vocabulary.where("tag_id is not null and tag_name != ''").groupBy(F.lower("tag_name").alias("t")).agg(F.min("tag_id").alias("i"))
+    one, two = ids.select(F.col("t").alias("tag_1"), F.col("i").alias("tag_id_1")), ids.select(F.col("t").alias("tag_2"), F.col("i").alias("tag_id_2"))
+    return edges.join(one, "tag_1").join(two, "tag_2").select("tag_id_1", "tag_id_2", F.col("weight").cast("float").alias("weight"))
+
+
 def bm25_single(text: Column, tag: Column) -> Column:
     """Okapi score of a tag's words in a collection of this one text: every word has idf -0.25*ln 3, so hits count against a tag.
 
@@ -241,8 +295,11 @@ def fused(sem: Column, lex: Column, p: Tagging = TAGGING) -> Column:
     return p.gamma * F.coalesce(sem, F.lit(0.0)) + (1 - p.gamma) * F.coalesce(lex, F.lit(0.0))
 
 
-def mmr(scores: np.ndarray, likeness: np.ndarray, k: int, balance: float) -> np.ndarray:
-    """Rows of the k picks per row of scores: the best first, then the best of balance*score - (1-balance)*max(0, likeness to a pick). Ties: the earlier."""
+def mmr(scores: np.ndarray, vectors: np.ndarray, k: int, balance: float) -> np.ndarray:
+    """Rows of the k picks per row of scores: the best first, then the best of balance*score - (1-balance)*max(0, likeness to a pick). Ties: the earlier.
+
+    ``vectors`` are unit vectors of the columns (zeros: alike nothing); only the picks' likeness is computed.
+    """
     n, size = scores.shape
     picks = np.zeros((n, min(k, size)), np.int64)
     left, near = np.where(np.isnan(scores), -np.inf, scores), np.zeros(scores.shape)
@@ -251,7 +308,7 @@ def mmr(scores: np.ndarray, likeness: np.ndarray, k: int, balance: float) -> np.
         picks[:, step] = value.argmax(1)
         left = left.copy()
         left[np.arange(n), picks[:, step]] = -np.inf
-        near = np.maximum(near, likeness[picks[:, step]])
+        near = np.maximum(near, vectors[picks[:, step]] @ vectors.T)
     return picks
 
 
@@ -269,17 +326,18 @@ def tag_records(records: DataFrame, vectors: DataFrame, vocabulary: DataFrame, t
     have = {r[0]: np.array(r[1], np.float64) for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding"), size)}
     nodes = spark.createDataFrame([(t,) for t in tags], "node string")
     known = adjacency(edges.select(F.col("tag_1").alias("src"), F.col("tag_2").alias("dst"), "weight"), nodes)
-    spread = diffusion(len(tags), [(at[r[0]], at[r[1]], r[2]) for r in collect_small(known, size * 40)], p)
+    links = [(at[r[0]], at[r[1]], r[2]) for r in collect_small(known, size * 40)]
     dims = len(next(iter(have.values()), np.zeros(1)))
     m = np.stack([have.get(t, np.zeros(dims)) for t in tags]) if tags else np.zeros((0, dims))
     n = np.linalg.norm(m, axis=1, keepdims=True)
     m = m / np.where(n > 0, n, 1)
     words_of = [t.lower().split() for t in tags]
     penalty = -0.25 * np.log(3.0)
-    sent = spark.sparkContext.broadcast((tags, m, m @ m.T, spread, words_of))  # of a checked size
+    sent = spark.sparkContext.broadcast((tags, m, links, words_of))  # linear in the tags and edges, both of a checked size
 
     def run(batches):
-        tags, m, likeness, spread, words_of = sent.value
+        tags, m, links, words_of = sent.value
+        spread = Spread(len(tags), links, p)
         single: dict[str, list[int]] = {}
         for i, ws in enumerate(words_of):
             for w in ws:
@@ -299,8 +357,9 @@ def tag_records(records: DataFrame, vectors: DataFrame, vocabulary: DataFrame, t
                     for w, tf in count.items():
                         for t in single[w]:
                             score[r, t] += (1 - p.gamma) * penalty * tf * 2.5 / (tf + 1.5)
-                seeds = mmr(score, likeness, p.seeds, p.mmr)
-                final = spread[seeds].mean(1)
+                seeds = mmr(score, m, p.seeds, p.mmr)
+                which, at = np.unique(seeds, return_inverse=True)
+                final = spread.rows(which.tolist())[at.reshape(seeds.shape)].mean(1)
                 best = (final.shape[1] - 1 - np.argsort(-final[:, ::-1], axis=1, kind="stable"))[:, : p.top]
                 for r, i in enumerate(part):
                     found = [tags[t] for t in best[r]]
@@ -322,23 +381,84 @@ def missing_vectors(records: DataFrame, vectors: DataFrame, encoder: Encoder = h
     return encoded(records.join(vectors.select("id"), "id", "left_anti").select("id", text.alias("text")), "id", "text", encoder)
 
 
-def semantic(vectors: DataFrame, tag_vectors: DataFrame) -> DataFrame:
-    """(id, tag, sem): cosine of every record's vector (id, v) with every tag's (tag, embedding); the tags are of a checked size."""
-    have = [(r[0], np.array(r[1], np.float64)) for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding"))]
-    have.sort(key=lambda x: x[0])
-    names = [t for t, _ in have]
-    m = np.stack([v / (np.linalg.norm(v) + 1e-9) for _, v in have]) if have else np.zeros((0, 1))
+def semantic(vectors: DataFrame, tag_vectors: DataFrame, top: int) -> DataFrame:
+    """(id, tag, sem, rank): the ``top`` tags (tag, embedding; of a checked size) nearest to each record's vector (id, v); ties in the order of the alphabet.
+
+    The best are taken where the cosines are made: pairs of all records and tags never leave their batch.
+    """
+    have = sorted((r[0], r[1]) for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding")))
+    names = pa.array([t for t, _ in have], pa.string())
+    m = np.array([v for _, v in have], np.float64).reshape(len(have), -1)
+    m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    k = min(top, len(have))
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
+            for lo in range(0, b.num_rows if k else 0, 1024):
                 part = b.slice(lo, 1024)
-                v = np.array(part.column(1).to_pylist(), np.float64)
-                cos = v @ m.T
-                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(v)), len(names))))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(names * len(v), pa.string()), pa.array(cos.ravel())], ["id", "tag", "sem"])
+                cos = np.array(part.column(1).to_pylist(), np.float64) @ m.T
+                best = np.argsort(-cos.round(9), axis=1, kind="stable")[:, :k]
+                row = np.repeat(np.arange(len(cos)), k)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(best.ravel())), pa.array(np.take_along_axis(cos, best, 1).ravel()), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(cos)))], ["id", "tag", "sem", "rank"])
+
+    return vectors.select("id", "v").mapInArrow(run, "id string, tag string, sem double, rank int")
+
+
+def best_tags(records: DataFrame, vectors: DataFrame, tag_vectors: DataFrame, vocabulary: DataFrame, top: int, p: Tagging = TAGGING) -> DataFrame:
+    """(id, tag, score, rank): the ``top`` tags of each record by semantic and lexical score together; ties in the order of the alphabet.
+
+    A tag counts for a record if either score exists; the other is 0 then. Both are made and fused within a batch, with
+    the vocabulary (tag) of a checked size at hand. Records without a vector have lexical scores only.
+    """
+    tags = sorted({r[0] for r in collect_small(vocabulary.where("tag is not null").select("tag").distinct())})
+    have = {r[0]: r[1] for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding"))}
+    dims = len(next(iter(have.values()), [0]))
+    m = np.array([have.get(t, np.zeros(dims)) for t in tags], np.float64).reshape(len(tags), dims)
+    m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    known = np.array([t in have for t in tags], bool)
+    penalty = -0.25 * np.log(3.0)
+    single: dict[str, list[tuple[int, int]]] = {}
+    for i, t in enumerate(tags):
+        own = t.lower().split()
+        for w in dict.fromkeys(own):
+            single.setdefault(w, []).append((i, own.count(w)))
+    names = pa.array(tags, pa.string())
 
-    return vectors.select("id", "v").mapInArrow(run, "id string, tag string, sem double") if names else vectors.sparkSession.createDataFrame([], "id string, tag string, sem double")
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows if tags else 0, 1024):
+                part = b.slice(lo, 1024)
+                texts, vecs = part.column(1).to_pylist(), part.column(2).to_pylist()
+                with_vector = np.array([v is not None for v in vecs], bool)
+                score = np.zeros((len(texts), len(tags)))
+                if with_vector.any():
+                    score[with_vector] = p.gamma * (np.array([v for v in vecs if v is not None]) @ m.T)
+                there = with_vector[:, None] & known
+                for r, text in enumerate(texts):
+                    count: dict[str, int] = {}
+                    for w in text.split():
+                        if w in single:
+                            count[w] = count.get(w, 0) + 1
+                    for w, tf in count.items():
+                        for t, q in single[w]:
+                            score[r, t] += (1 - p.gamma) * penalty * q * tf * 2.5 / (tf + 1.5)
+                            there[r, t] = True
+                score = np.where(there, score.round(9), -np.inf)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+                value = np.take_along_axis(score, best, 1)
+                row, at = np.nonzero(value > -np.inf)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), names.take(pa.array(best[row, at])), pa.array(value[row, at]), pa.array((at + 1).astype(np.int32))], ["id", "tag", "score", "rank"])
+
+    text = F.lower(F.concat_ws(" ", F.coalesce("dataset_name", F.lit("")), F.coalesce("dataset_desc", F.lit(""))))
+    x = records.select("id", text.alias("_t")).join(vectors.select("id", "v"), "id", "left")
+    return x.select("id", "_t", "v").mapInArrow(run, "id string, tag string, score double, rank int")
+
+
+def mean_vectors(tagged: DataFrame, vectors: DataFrame, dimensions: int) -> DataFrame:
+    """(tag, embedding): each tag's vector as the mean of those (id, v) of the records (id, tag) that have it, of length 1. No model is asked."""
+    x = tagged.select("id", "tag").distinct().join(vectors, "id")
+    sums = x.groupBy("tag").agg(*(F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(dimensions)))
+    return sums.select("tag", unit(F.array(*(F.col(f"s{i}") for i in range(dimensions)))).alias("embedding"))
 
 
 def untagged(records: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ class Monitor:
     fail_threshold: int = 3
     window: int = 5
     keep: int = 10
+    #: our own: the stretch of a site's history that one task orders
+    period: str = "month"
     ok_status: tuple[int, ...] = (200, 301, 302)
     api_sites: tuple[str, ...] = ("data.quellmar.example",)
     browser_sites: tuple[str, ...] = ("portal.example",)

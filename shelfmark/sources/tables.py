@@ -16,6 +16,7 @@ SCHEMAS = {
     "tag_vocabulary": "tag_id int, tag_name string, tag_count int, created_at timestamp_ntz",
     "tag_cooccurrence": "tag_id_1 int, tag_id_2 int, weight float",
     "seda_dataset_vectors": "id string, embedding array<float>",
+    "tag_vectors": "tag string, embedding array<float>",
 }
 
 
@@ -29,6 +30,17 @@ def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
+def init_tables(spark: SparkSession, folder: str) -> list[str]:
+    """Create the tables a store lacks, empty, as their DDL says; what is there stays. The names of all."""
+    from shelfmark.session import hadoop_path
+
+    for name in SCHEMAS:
+        fs, at = hadoop_path(spark, f"{folder}/{name}.parquet")
+        if not fs.exists(at):
+            empty(spark, name).write.parquet(f"{folder}/{name}.parquet")
+    return sorted(SCHEMAS)
+
+
 def current(records: DataFrame, *columns: str) -> DataFrame:
     """The current row of every id: the latest ``harvested_at``; identical repeats count once.
 

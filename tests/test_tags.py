@@ -68,7 +68,7 @@ def test_mmr_equals_a_greedy_model():
     v = rng.normal(size=(15, 4))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     scores = rng.normal(size=(20, 15)).round(1)
-    got = tags.mmr(scores, v @ v.T, 5, 0.5)
+    got = tags.mmr(scores, v, 5, 0.5)
     assert [list(g) for g in got] == [greedy(s, v @ v.T, 5, 0.5) for s in scores]
     assert tags.mmr(scores[:1, :3], np.eye(3), 5, 0.5).shape == (1, 3)
 
