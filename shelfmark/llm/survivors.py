@@ -22,8 +22,8 @@ from shelfmark.session import stored
 FIELDS = ("dataset_name", "dataset_desc", "dataset_url", "source")
 #: Fields whose values can be damaged; True: text of sentences, which end in a sign.
 TEXTS = {"dataset_name": False, "dataset_desc": True}
-#: Distinct values aligned in one block.
-BLOCK = 256
+#: Distinct values aligned in one block; columns in a row that tell where agreement ends; tokens of an agreed end whose lack makes a whole sentence's end a cut.
+BLOCK, FIRM, LACKING = 256, 5, 3
 HOLE = "\ue000"
 TOKEN = re.compile(rf"[\u3040-\u30ff\u3400-\u9fff]|(?:[^\W_\u3040-\u30ff\u3400-\u9fff]|{HOLE})+")
 MARKUP = re.compile(r"<[^>]*>")
@@ -126,45 +126,47 @@ def agreement(values: list[tuple[tuple[str, ...], float, int]]) -> tuple[list[st
     """(the tokens that win their columns' votes, how many of them, from the first, are firm).
 
     ``values``: (tokens, weight, records); taken by weight, then length, then text. A value doesn't vote on columns after
-    its last token: one that was cut off can't outvote the rest of the others. A column is firm if two records or more,
-    and two thirds of all, go at least that far.
+    its last token: one that was cut off can't outvote the rest of the others. A column is agreed on if two records or
+    more, and two thirds of all, have its token; the firm part ends with the last such column before most of FIRM in a
+    row are not, so that slips don't end it but different continuations do.
     """
     values = sorted(values, key=lambda x: (-x[1], -len(x[0]), x[0]))
-    profile: list[dict[str, float]] = []
+    profile: list[dict[str, tuple[float, int]]] = []
     passed: list[float] = []
-    reach: list[int] = []
     before, met = 0.0, 0
+    leader = lambda column: max(column, key=lambda t: (column[t][0], t))
     for tok, weight, records in values:
-        lead = [max(c.items(), key=lambda x: (x[1], x[0]))[0] for c in profile]
-        path = align(lead, tok)
+        path = align([leader(c) for c in profile], tok)
         last = max((k for k, (_, j) in enumerate(path) if j >= 0), default=-1)
-        grown, silent, far = [], [], []
+        grown, silent = [], []
         for k, (i, j) in enumerate(path):
-            column, gaps, gone = (profile[i], passed[i], reach[i]) if i >= 0 else ({}, before, 0)
+            column, gaps = (profile[i], passed[i]) if i >= 0 else ({}, before)
             if j >= 0:
                 t = next((x for x in column if fits(x, tok, j)), tok[j])
                 if HOLE in t and HOLE not in tok[j]:
                     column[tok[j]] = column.pop(t)
                     t = tok[j]
-                column[t] = column.get(t, 0.0) + weight
+                w, n = column.get(t, (0.0, 0))
+                column[t] = (w + weight, n + records)
             elif k < last:
                 gaps += weight
             grown.append(column)
             silent.append(gaps)
-            far.append(gone + (records if k <= last else 0))
-        # a column that only this value has was passed by all that go further
-        for k in range(len(far) - 2, -1, -1):
-            far[k] = max(far[k], far[k + 1])
-        profile, passed, reach = grown, silent, far
+        profile, passed = grown, silent
         before += weight
         met += records
-    won, firm = [], 0
-    for column, gaps, gone in zip(profile, passed, reach):
-        token, votes = max(column.items(), key=lambda x: (x[1], x[0]))
-        if votes >= gaps or sum(column.values()) > gaps:
-            won.append(token)
-            if gone >= 2 and 3 * gone >= 2 * met:
-                firm = len(won)
+    won, agreed = [], []
+    for column, gaps in zip(profile, passed):
+        t = leader(column)
+        if column[t][0] >= gaps or sum(w for w, _ in column.values()) > gaps:
+            won.append(t)
+            agreed.append(column[t][1] >= 2 and 3 * column[t][1] >= 2 * met)
+    firm = 0
+    for k, ok in enumerate(agreed):
+        recent = agreed[max(0, k + 1 - FIRM) : k + 1]
+        if 2 * sum(recent) < len(recent):
+            break
+        firm = k + 1 if ok else firm
     return won, firm
 
 
@@ -172,7 +174,7 @@ def verdict(value: str, agreed: list[str], field: str, firm: int = 0) -> tuple[b
     """(damaged, distance): tokens that differ from the consensus, and whether the value is cut off or wrongly decoded.
 
     A name is cut off where the consensus goes on, in the word or after it. So is a description that ends within a word
-    of the consensus, or before the end of its firm part; one that stops without the sign of a sentence is, too, unless
+    of the consensus, or well before the end of its firm part; one that stops without the sign of a sentence is, too, unless
     all the consensus is firm and ends there with it. A description that agrees with little of the consensus is judged by its
     own end alone.
     """
@@ -192,7 +194,7 @@ def verdict(value: str, agreed: list[str], field: str, firm: int = 0) -> tuple[b
         here = next((i for i, j in path if j == len(tok) - 1), -1)
         cut_word = here >= 0 and len(tok[-1]) < len(agreed[here]) and same(tok[-1], agreed[here][: len(tok[-1])])
         if ended:
-            return end < firm, distance
+            return end + LACKING <= firm, distance
         return cut_word or end < len(agreed) or firm < len(agreed), distance
     damaged = False
     if tok and len(tok) <= len(agreed) and all(same(x, y) for x, y in zip(tok[:-1], agreed)):
