@@ -44,16 +44,23 @@ def _hook(edges: DataFrame) -> DataFrame:
     # the end a of an edge (a, b) is a root exactly if b picked the same edge; v = a picks its smallest, which starts with a smaller end wherever one exists
     pick = pick.select("v", F.when(F.col("v") == F.col("e.a"), F.col("e.b")).otherwise(F.col("e.a")).alias("p"))
     back = pick.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-    return pick.join(back, "p", "left").select("v", F.when((F.col("pp") == F.col("v")) & (F.col("v") < F.col("p")), F.col("v")).otherwise(F.col("p")).alias("p"))
+    return pick.join(_sorted(back), "p", "left").select("v", F.when((F.col("pp") == F.col("v")) & (F.col("v") < F.col("p")), F.col("v")).otherwise(F.col("p")).alias("p"))
+
+
+def _sorted(df: DataFrame) -> DataFrame:
+    """To be joined by a sorted merge: the sides grow with the collection, and many small broadcasts one after the other fill the driver."""
+    return df.hint("merge")
 
 
 def _collapse(parents: DataFrame) -> DataFrame:
-    """Pointer jumping until every node points to its root: three pointers at a time, one job per step."""
+    """Pointer jumping until every node points to its root: four pointers per step, one job each.
+
+    The job that writes a step tells whether its last hop still moved anything; if not, all pointers have reached their roots.
+    """
     while True:
-        up = parents.select(F.col("v").alias("p"), F.col("p").alias("g"))
-        top = parents.select(F.col("v").alias("g"), F.col("p").alias("t"))
-        # the job that writes the step counts the pointers that moved
-        jumped, seen = cut_counting(parents.join(up, "p").join(top, "g").select("v", F.col("p").alias("old"), F.col("t").alias("p")), moved=F.count_if(F.col("old") != F.col("p")))
+        hop = lambda a, b: _sorted(parents.select(F.col("v").alias(a), F.col("p").alias(b)))  # noqa: B023, E731
+        far = parents.join(hop("p", "g"), "p").join(hop("g", "t"), "g").join(hop("t", "u"), "t")
+        jumped, seen = cut_counting(far.select("v", "t", F.col("u").alias("p")), moved=F.count_if(F.col("t") != F.col("p")))
         parents = jumped.select("v", "p")
         if not seen["moved"]:
             return parents
@@ -73,12 +80,12 @@ def components(edges: DataFrame) -> DataFrame:
         if label is None:
             label = root.select(F.col("v").alias("id"), F.col("p").alias("root"))
         else:
-            label = label.join(root, label["root"] == root["v"], "left").select("id", F.coalesce("p", "root").alias("root"))
+            label = label.join(_sorted(root), label["root"] == root["v"], "left").select("id", F.coalesce("p", "root").alias("root"))
         ra = root.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         rb = root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         # every component doubles at least per round, so the labels' plan stays a few joins over checkpoints
-        e, left = cut_counting(e.join(ra, "a").join(rb, "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n=F.count(F.lit(1)))
+        e, left = cut_counting(e.join(_sorted(ra), "a").join(_sorted(rb), "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n=F.count(F.lit(1)))
     if label is None:
         return e.select(F.col("a").alias("group_id"), F.col("b").alias("id"))
     first = label.groupBy("root").agg(F.min("id").alias("group_id"))
-    return label.join(first, "root").select("group_id", "id")
+    return label.join(_sorted(first), "root").select("group_id", "id")
