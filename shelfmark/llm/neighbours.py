@@ -1,7 +1,8 @@
 """Most similar vectors for every vector: additive quantisation, lookup-table scoring, exact reranking.
 
 A vector is the sum of one entry of each of several codebooks over all dimensions; the entries are chosen by beam search
-and stored with the length of their sum. The first codebook also cuts space into cells. Every vector is compared with
+and stored with the length of their sum. The first codebook also cuts space into cells, and in large collections the
+second cuts every cell again, so that the rows of a cell stay few. Every vector is compared with
 the vectors of the cells nearest to it: scores come from tables (products of the query with all codebook entries), and
 the best of them are reranked by exact cosine.
 
@@ -21,15 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shelfmark.session import cut
+from shelfmark.session import collect_small, cut
 
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: vectors that train the codebooks, about (the bound); row_cell: rows a cell is meant to have; entries,
+    """sample: vectors that train the codebooks, about (the bound); row_cell: rows a cell is meant to have; most_cells: cells
+    of the first codebook at most, of whose entries the sample must tell (more rows are cut by the second book); entries,
     codebooks: of the residual books; beam: partial encodings kept; probes: cells searched at most; margin: how much less near than
     the nearest a cell may be to be searched; cell_best, rerank: candidates
-    kept by table score in a cell and in a region; region: rows a region is meant to have."""
+    kept by table score in a cell and in a region; region: rows a region is meant to have; tasks: of the search, at most."""
 
     dimensions: int = 64
     sample: int = 20_000
@@ -43,6 +45,7 @@ class Settings:
     cell_best: int = 100
     rerank: int = 200
     region: int = 4000
+    tasks: int = 20_000
     seed: int = 11
 
 
@@ -74,20 +77,25 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 class Books:
     """The codebooks: the cells' centres, then the residual books."""
 
-    def __init__(self, books: list[np.ndarray], beam: int):
-        self.books, self.beam = books, beam
+    def __init__(self, books: list[np.ndarray], beam: int, sub: int = 1):
+        """sub: cells that the second book cuts each cell of the first into (1: none)."""
+        self.books, self.beam, self.sub = books, beam, sub
+
+    def cell(self, codes: np.ndarray) -> np.ndarray:
+        """The cell of each row of codes."""
+        return codes[:, 0] * self.sub + codes[:, 1] if self.sub > 1 else codes[:, 0]
 
     @staticmethod
-    def train(x: np.ndarray, cells: int, s: Settings) -> Books:
+    def train(x: np.ndarray, cells: int, s: Settings, sub: int = 1) -> Books:
         """Books of residuals of residuals, then fitted together by least squares to the codes of a beam search."""
         rng = np.random.default_rng(s.seed)
         books, rest = [], x
-        for size in [cells] + [s.entries] * s.codebooks:
+        for size in [cells] + [sub] * (sub > 1) + [s.entries] * s.codebooks:
             centres = kmeans(rest, size, rng)
             books.append(centres)
             near = np.concatenate([(2 * b @ centres.T - (centres**2).sum(1)).argmax(1) for b in np.array_split(rest, max(1, len(rest) // 4096))])
             rest = rest - centres[near]
-        out = Books(books, s.beam)
+        out = Books(books, s.beam, sub)
         codes = out.encode(x)
         sizes = [len(b) for b in books]
         base = np.cumsum([0, *sizes[:-1]])
@@ -100,7 +108,7 @@ class Books:
             right += hot.T @ x[part]
         flat = np.concatenate(books)
         fitted = flat + np.linalg.solve(gram + np.eye(total, dtype=np.float32), right - gram @ flat)
-        return Books([b.astype(np.float32) for b in np.split(fitted, base[1:])], s.beam)
+        return Books([b.astype(np.float32) for b in np.split(fitted, base[1:])], s.beam, sub)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes (rows x books): the best of ``beam`` partial sums, extended book by book."""
@@ -137,14 +145,46 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _regions(centres: np.ndarray, rows: np.ndarray, target: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Region of each cell, and slices of each region, from the expected rows of the cells."""
-    count = int(min(len(centres), max(1, round(rows.sum() / target))))
-    middle = kmeans(centres, count, rng)
-    region = (2 * centres @ middle.T - (middle**2).sum(1)).argmax(1)
+def _regions(books: Books, codes: np.ndarray, n: int, target: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Region of each cell, and slices of each region, from the rows of the cells expected of n, given the codes of a sample.
+
+    While there are fewer regions than first cells, regions are groups of near ones; beyond, every cell is a region.
+    """
+    centres, sub = books.books[0], books.sub
+    first = np.bincount(codes[:, 0], minlength=len(centres)) * (n / len(codes))
+    # a sample tells little of single cells of the second cut: its shares are taken alike everywhere
+    rows = np.outer(first, np.bincount(codes[:, 1], minlength=sub) / len(codes)).ravel() if sub > 1 else first
+    count = int(max(1, round(n / target)))
+    if count < len(centres):
+        middle = kmeans(centres, count, rng)
+        region = np.repeat((2 * centres @ middle.T - (middle**2).sum(1)).argmax(1), sub)
+    else:
+        region, count = np.arange(len(rows)), len(rows)
     return region, np.maximum(1, np.ceil(np.bincount(region, rows, count) / (2 * target))).astype(np.int64)
 
 
+def _probes(v: np.ndarray, books: Books, own: np.ndarray, s: Settings) -> np.ndarray:
+    """Cells to search for each vector: the nearest ones, of those as near as the nearest but for the margin, and its own; -1 fills up."""
+    centres, sub = books.books[0], books.sub
+    near = v @ centres.T - (centres**2).sum(1) / 2
+    wide = min(s.probes, len(centres))
+    probe = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
+    level = np.take_along_axis(near, probe, 1)
+    if sub > 1:
+        inner = books.books[1]
+        more = (v @ inner.T - (inner**2).sum(1) / 2)[:, None, :] - (centres[probe] @ inner.T)
+        level, probe = (level[:, :, None] + more).reshape(len(v), -1), (probe[:, :, None] * sub + np.arange(sub)).reshape(len(v), -1)
+        wide = min(2 * s.probes, probe.shape[1])
+        best = np.argpartition(-level, wide - 1, axis=1)[:, :wide]
+        level, probe = np.take_along_axis(level, best, 1), np.take_along_axis(probe, best, 1)
+    probe = np.where(level >= level.max(1, keepdims=True) - s.margin, probe, -1)
+    # the place of the farthest cell goes to the own one, where that isn't among them
+    last = level.argmin(1)
+    rows = np.arange(len(v))
+    probe[rows, last] = np.where((probe == own[:, None]).any(1), probe[rows, last], own)
+    return probe
+
+
 def _search(rows: dict, queries: dict, books: Books, k: int, s: Settings):
     """(query, neighbour, cosine) of one region: rows and queries are dicts of arrays."""
     d = s.dimensions
@@ -153,7 +193,7 @@ def _search(rows: dict, queries: dict, books: Books, k: int, s: Settings):
     begin = dict(zip(*np.unique(cell[order], return_index=True)))
     ends = np.r_[np.sort(np.fromiter(begin.values(), np.int64, len(begin))), len(cell)]
     residual = np.concatenate(books.books[1:]).T
-    entries = s.entries
+    base = np.cumsum([0, *(len(b) for b in books.books[1:-1])])
     for at in range(0, len(queries["id"]), 4096):
         part = slice(at, at + 4096)
         q, probes, name = queries["vec"][part], queries["probes"][part], queries["id"][part]
@@ -173,10 +213,10 @@ def _search(rows: dict, queries: dict, books: Books, k: int, s: Settings):
             lo = begin[c]
             members = order[lo : ends[np.searchsorted(ends, lo, "right")]]
             who, slot = np.divmod(by_cell[a:b], probes.shape[1])
-            near = (q32[who] @ books.books[0][c])[:, None].repeat(len(members), 1)
+            near = (q32[who] @ books.books[0][c // books.sub])[:, None].repeat(len(members), 1)
             own = tables[who]
             for m in range(len(books.books) - 1):
-                near += own[:, m * entries + codes[members, m + 1]]
+                near += own[:, base[m] + codes[members, m + 1]]
             near *= scale[members]
             keep = min(s.cell_best, len(members))
             best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(members) else np.arange(keep)[None].repeat(len(who), 0)
@@ -231,50 +271,39 @@ def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings())
     if not len(x):
         x = np.eye(1, d, dtype=np.float32)
     cells = int(max(1, min(s.most_cells, n // s.row_cell, len(x) // 8)))
-    books = Books.train(x, cells, s)
-    rows_of_cell = np.bincount(books.encode(x)[:, 0], minlength=cells) * (n / len(x))
-    region, slices = _regions(books.books[0], rows_of_cell, s.region, np.random.default_rng(s.seed))
-    probes = min(s.probes, cells)
+    sub = int(max(1, min(s.entries, round(n / (cells * s.row_cell))))) if cells > 1 else 1
+    books = Books.train(x, cells, s, sub)
+    region, slices = _regions(books, books.encode(x), n, s.region, np.random.default_rng(s.seed))
     width = len(books.books)
-    shared = spark.sparkContext.broadcast((books, region, slices))  # a few hundred KB: bounded by the settings
+    shared = spark.sparkContext.broadcast((books, region, slices))  # a few MB: bounded by the settings
 
     def route(batches):
         books, region, slices = shared.value
-        centres = books.books[0]
-        half = (centres**2).sum(1) / 2
         start = np.cumsum(slices) - slices
+        lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind))
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                ids = part.column(0)
-                v = _unit(_matrix(part.column(1), d))
-                v32 = v.astype(np.float32)
+                ids, slot = part.column(0), np.asarray(part.column(2))
+                v32 = _unit(_matrix(part.column(1), d)).astype(np.float32)
                 codes = books.encode(v32)
-                total = books.sums(codes)
-                scale = 1 / np.maximum(np.linalg.norm(total, axis=1), 1e-6)
-                near = v32 @ centres.T - half
-                probe = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
-                level = np.take_along_axis(near, probe, 1)
-                probe = np.where(level >= level.max(1, keepdims=True) - s.margin, probe, -1)
-                probe[:, -1] = np.where((probe == codes[:, :1]).any(1), probe[:, -1], codes[:, 0])
-                slot = np.fromiter((hash_of(i) for i in ids.to_pylist()), np.int64, len(ids))
-                home = region[codes[:, 0]]
-                out_row, out_key, out_own, out_probe = [], [], [], []
-                for i in range(len(ids)):
-                    where = np.where(probe[i] < 0, -1, region[probe[i]])
-                    for r in np.unique(where).tolist():
-                        if r < 0:
-                            continue
-                        mine = np.where(where == r, probe[i], -1)
-                        for t in range(int(slices[r])):
-                            out_row.append(i)
-                            out_key.append(int(start[r]) + t)
-                            out_own.append(r == home[i] and slot[i] % slices[r] == t)
-                            out_probe.append(mine)
-                take = np.array(out_row)
-                lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1])
+                scale = 1 / np.maximum(np.linalg.norm(books.sums(codes), axis=1), 1e-6)
+                own = books.cell(codes)
+                probe = _probes(v32, books, own, s)
+                # every region of a vector's cells once, and every slice of it
+                where = np.where(probe < 0, -1, region[probe])
+                ordered = np.sort(where, axis=1)
+                i, c = np.nonzero((ordered >= 0) & np.c_[np.ones(len(ordered), bool), ordered[:, 1:] != ordered[:, :-1]])
+                r = ordered[i, c]
+                times = slices[r]
+                rep = np.repeat(np.arange(len(r)), times)
+                t = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
+                i, r, times = i[rep], r[rep], times[rep]
+                home = (r == region[own][i]) & (slot[i] % times == t)
+                mine = np.where(where[i] == r[:, None], probe[i], -1)
+                take = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out_key, pa.int32()), pa.array(out_own, pa.bool_()), ids.take(pa.array(take)), part.column(1).take(pa.array(take)), lists(codes[take], pa.int16()).cast(pa.list_(pa.int16())), pa.array(scale[take], pa.float32()), lists(np.stack(out_probe), pa.int16()).cast(pa.list_(pa.int16()))],
+                    [pa.array(start[r] + t, pa.int32()), pa.array(home), ids.take(take), part.column(1).take(take), lists(codes[i], pa.int16()), pa.array(scale[i], pa.float32()), lists(mine, pa.int32())],
                     ["key", "own", "id", "embedding", "codes", "scale", "probes"],
                 )
 
@@ -287,9 +316,9 @@ def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings())
             own = np.asarray(t["own"])
             vec = _unit(_matrix(t["embedding"].combine_chunks(), d))
             codes = _matrix(t["codes"].combine_chunks(), width).astype(np.int64)
-            probe = _matrix(t["probes"].combine_chunks(), probes).astype(np.int64)
+            probe = _matrix(t["probes"].combine_chunks(), len(t["probes"][0])).astype(np.int64)
             ids = np.array(t["id"].to_pylist(), object)
-            rows = {"id": np.r_[ids[own], np.array([None], object)], "vec": np.r_[vec[own], np.zeros((1, d))], "cell": codes[own, 0], "codes": codes[own], "scale": np.asarray(t["scale"])[own]}
+            rows = {"id": np.r_[ids[own], np.array([None], object)], "vec": np.r_[vec[own], np.zeros((1, d))], "cell": books.cell(codes[own]), "codes": codes[own], "scale": np.asarray(t["scale"])[own]}
             if not own.any():
                 return
             for a, b, c in _search(rows, {"id": ids, "vec": vec, "probes": probe}, books, k, s):
@@ -310,42 +339,49 @@ def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings())
             yield from finish(parts)
 
     kind = "array<float>" if "float" in base.schema["embedding"].dataType.simpleString() else "array<double>"
-    routed = indexed.select("id", "embedding").mapInArrow(route, f"key int, own boolean, id string, embedding {kind}, codes array<smallint>, scale float, probes array<smallint>")
-    regions = int(slices.sum())
-    found = routed.repartition(regions, "key").sortWithinPartitions("key").mapInArrow(search, "id string, other string, cosine double")
+    routed = indexed.select("id", "embedding", F.crc32("id").alias("slot")).mapInArrow(route, f"key int, own boolean, id string, embedding {kind}, codes array<smallint>, scale float, probes array<int>")
+    # a region's slice per task while there are not too many: hashed, several would meet in one task and others stay idle
+    tasks = int(min(slices.sum(), s.tasks))
+    found = routed.repartitionById(tasks, F.pmod("key", F.lit(tasks))).sortWithinPartitions("key").mapInArrow(search, "id string, other string, cosine double")
     best = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
     out = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
     return out.unionByName(rest) if rest is not None else out
 
 
-def hash_of(text: str) -> int:
-    """A hash that is the same in every worker."""
-    import zlib
-
-    return zlib.crc32(text.encode())
-
-
 def pairs(near: DataFrame) -> DataFrame:
     """(id_1, id_2), the smaller first: one of the two is among the other's neighbours."""
     return near.select(F.least("id", "other").alias("id_1"), F.greatest("id", "other").alias("id_2")).distinct()
 
 
-def recall(near: DataFrame, vectors: DataFrame, k: int, every: int = 20, settings: Settings = Settings()) -> float:
-    """Share of the true k nearest found, for one in ``every`` ids (by hash), by brute force in blocks."""
+def recall(near: DataFrame, vectors: DataFrame, k: int, every: int = 20, settings: Settings = Settings(), most: int = 20_000) -> float:
+    """Share of the true k nearest found, for the queries whose number (the digits of the id) is divisible by ``every``, by brute force.
+
+    The queries' vectors (at most ``most``, else an error: raise ``every``) are sent to all tasks; each compares its rows
+    with them in blocks and gives the k best of its own, so that no vector of the collection comes to the driver.
+    """
     d = settings.dimensions
-    rows = vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), d)).groupBy("id").agg(F.min("embedding").alias("embedding")).orderBy("id").toArrow()
-    ids, x = np.array(rows["id"].to_pylist(), object), _unit(_matrix(rows["embedding"].combine_chunks(), d))
-    ask = np.array([i for i, name in enumerate(ids) if hash_of(name) % every == 0])
-    have: dict[str, set] = {}
-    for r in near.toArrow().to_pylist():
-        have.setdefault(r["id"], set()).add(r["other"])
-    hit = total = 0
-    for lo in range(0, len(ask), 256):
-        part = ask[lo : lo + 256]
-        cos = x[part] @ x.T
-        cos[np.arange(len(part)), part] = -np.inf
-        for i, c in zip(part, cos):
-            top = np.lexsort((np.arange(len(c)), -c))[: min(k, len(c) - 1)]
-            hit += len(have.get(ids[i], set()) & set(ids[top]))
-            total += len(top)
-    return hit / max(1, total)
+    base = vectors.where(F.col("id").isNotNull() & usable(F.col("embedding"), d)).groupBy("id").agg(F.min("embedding").alias("embedding"))
+    number = F.coalesce(F.regexp_extract("id", r"(\d+)$", 1).try_cast("bigint"), F.crc32("id"))
+    asked = collect_small(base.where(number % every == 0), most)
+    names = np.array([r[0] for r in asked], object)
+    q = _unit(np.array([r[1] for r in asked], np.float64).reshape(-1, d))
+    sent = base.sparkSession.sparkContext.broadcast((names, q))
+
+    def best(batches):
+        names, q = sent.value
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                ids = np.array(part.column(0).to_pylist(), object)
+                cos = (q @ _unit(_matrix(part.column(1), d)).T).round(12)
+                cos[names[:, None] == ids[None]] = -np.inf
+                keep = min(k, len(ids))
+                top = np.lexsort((np.broadcast_to(ids, cos.shape), -cos), axis=1)[:, :keep] if len(ids) <= k else np.argpartition(-cos, keep - 1, axis=1)[:, :keep]
+                row = np.repeat(np.arange(len(q)), keep)
+                yield pa.RecordBatch.from_arrays([pa.array(names[row], pa.string()), pa.array(ids[top.ravel()], pa.string()), pa.array(np.take_along_axis(cos, top, 1).ravel())], ["id", "other", "cosine"])
+
+    every_best = base.select("id", "embedding").mapInArrow(best, "id string, other string, cosine double").where("cosine > double('-infinity')")
+    w = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
+    true = every_best.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).select("id", "other")
+    hit = true.join(near.select("id", "other"), ["id", "other"], "left_semi").count()
+    return hit / max(1, true.count())
