@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,22 +94,60 @@ def site_pattern(host: Column, sites: tuple[str, ...]) -> Column:
     return out
 
 
-def policy(url: Column, p: Monitor = MONITOR) -> Column:
-    """'api', 'browser' or 'plain'; sites verified by API go first."""
+@dataclass(frozen=True)
+class Policy:
+    """How the addresses of some sites are verified. kind: 'api' ones are asked before 'browser' ones, others after both, in the order given.
+
+    handler: (url) -> whether it lives, from the columns of ``plugins.PROBE``; without one the kind's own rule holds.
+    """
+
+    name: str
+    kind: str
+    sites: tuple[str, ...]
+    handler: Callable[[Column], Column] | None = None
+
+
+def policies(p: Monitor = MONITOR) -> tuple[Policy, ...]:
+    """The registry of an installation whose settings name its sites; more policies may be added to it."""
+    return (Policy("verified by API", "api", p.api_sites), Policy("rendered by a browser", "browser", p.browser_sites))
+
+
+def ordered(registry: tuple[Policy, ...]) -> list[Policy]:
+    rank = {"api": 0, "browser": 1}
+    return sorted(registry, key=lambda x: rank.get(x.kind, 2))
+
+
+def policy(url: Column, p: Monitor = MONITOR, registry: tuple[Policy, ...] | None = None) -> Column:
+    """The kind of the first policy that has the address's site, or 'plain'."""
     h = host_of(url)
-    return F.when(site_pattern(h, p.api_sites), "api").when(site_pattern(h, p.browser_sites), "browser").otherwise("plain")
+    out = F.lit("plain")
+    for x in reversed(ordered(policies(p) if registry is None else registry)):
+        out = F.when(site_pattern(h, x.sites), x.kind).otherwise(out)
+    return out
 
 
-def alive(url: Column, p: Monitor = MONITOR) -> Column:
-    """Whether a probed URL lives, from the columns of ``plugins.PROBE``.
+def first_status() -> Column:
+    """The first answer to HEAD, or that to GET if every HEAD raised."""
+    return F.element_at(F.concat(F.filter(F.coalesce("head_status", F.array().cast("array<int>")), lambda s: s.isNotNull()), F.array(F.col("get_status"))), 1)
 
-    The first HEAD that answered decides; GET counts only if every HEAD raised. Sites verified by API need 200 there
-    and in the second look-up, where the address has one; browser sites a page title.
-    """
-    first = F.element_at(F.concat(F.filter(F.coalesce("head_status", F.array().cast("array<int>")), lambda s: s.isNotNull()), F.array(F.col("get_status"))), 1)
-    kind = policy(url, p)
+
+def by_api(url: Column) -> Column:
+    """200 at first and in the second look-up, where the address has one."""
     second = F.when(F.size(F.split(F.regexp_replace(url, r"/+$", ""), "/")) < 2, False).otherwise(F.coalesce(F.col("secondary_status") == 200, F.lit(False)))
-    out = F.when(kind == "api", (first == 200) & second).when(kind == "browser", strip(F.col("title")) != "").otherwise(first.isin(*p.ok_status))
+    return (first_status() == 200) & second
+
+
+def by_browser(url: Column) -> Column:
+    """The rendered page has a title."""
+    return strip(F.col("title")) != ""
+
+
+def alive(url: Column, p: Monitor = MONITOR, registry: tuple[Policy, ...] | None = None) -> Column:
+    """Whether a probed URL lives, from the columns of ``plugins.PROBE``: by the handler of its site's policy, else by its status."""
+    h, kinds = host_of(url), {"api": by_api, "browser": by_browser}
+    out = first_status().isin(*p.ok_status)
+    for x in reversed(ordered(policies(p) if registry is None else registry)):
+        out = F.when(site_pattern(h, x.sites), (x.handler or kinds[x.kind])(url)).otherwise(out)
     return F.when(F.coalesce(url, F.lit("")) == "", False).otherwise(F.coalesce(out, F.lit(False)))
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from shelfmark.plans import pipelines
+from shelfmark.session import shared_path
+from shelfmark.sources import sinks
+from shelfmark.sources.tables import table
+
 #: The current row of every id, in SQL; CTE ``cur``.
 CUR = """cur as (select * exclude (_rn) from (select *, row_number() over (partition by id order by harvested_at desc nulls last, ingested_at desc nulls last) _rn
  from seda_dataset where id is not null) where _rn = 1)"""
@@ -29,3 +34,11 @@ def registry():
         return add
 
     return queries, oracles, query
+
+
+def store_copy(spark, folder, *names):
+    """Stores in the shared folder that hold copies of some tables: what a pipeline may write to."""
+    stores = pipelines.Stores(spark, shared_path(spark, "store"))
+    for n in names:
+        sinks.append(table(spark, folder, n), stores.path(n))
+    return stores

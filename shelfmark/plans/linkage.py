@@ -18,7 +18,8 @@ from shelfmark.operators import blocking, dedup
 from shelfmark.operators.components import components as grouped
 from shelfmark.operators.monitor import policy
 from shelfmark.params import DEDUP
-from shelfmark.plans.common import CUR, WS, registry, strip
+from shelfmark.plans import pipelines
+from shelfmark.plans.common import CUR, WS, registry, store_copy, strip
 from shelfmark.session import stored
 from shelfmark.sources.tables import current, table
 
@@ -221,6 +222,14 @@ def dedup_mapping(spark, folder):
     return dedup.deduplicate(_current(spark, folder, *FIELDS), table(spark, folder, "seda_dataset_vectors"))
 
 
+@query(f"with recursive {CUR}, {NORM}, {EXPLICIT.replace('lk as', 'ek as')}, {SIM}, {BUCKETS}, {LSH}, {MATES}, lk as (select src, dst from ek union select src, dst from vl), {REACH}, {PICK}, {MAPPED} select r.id, r.harvested_at, coalesce(mp.canonical_id, r.canonical_id) canonical_id from seda_dataset r left join mp using (id)")
+def dedup_store(spark, folder):
+    """The stored records, superseded ones too, after a whole linkage run with its write."""
+    stores = store_copy(spark, folder, "seda_dataset", "seda_dataset_vectors")
+    pipelines.dedup_run(stores)
+    return stores.read("seda_dataset").select("id", "harvested_at", "canonical_id")
+
+
 def _normed(spark, folder):
     records = _current(spark, folder, *FIELDS)
     return stored(dedup.normalized(records)), vectors_of(records, table(spark, folder, "seda_dataset_vectors"), 64)

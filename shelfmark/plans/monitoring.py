@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from shelfmark import plugins
 from shelfmark.operators import monitor
-from shelfmark.plans.common import CUR, registry, strip
+from shelfmark.plans import pipelines
+from shelfmark.plans.common import CUR, registry, store_copy, strip
 from shelfmark.sources.tables import current, table
 
 QUERIES, ORACLES, query = registry()
@@ -159,6 +160,16 @@ def history_append(spark, folder):
     return monitor.history_rows(_round(spark, folder), now())
 
 
+@query(f"""with {ALL}, u as (select ext_host_name, link_num, link_rate, status, detect_date from link_detect union all select site, link_num, alive_rate, status, {NOW_SQL} from rd),
+c as (select ext_host_name h, min(detect_date) cut from (select *, row_number() over (partition by ext_host_name order by detect_date desc) rn from u where ext_host_name is not null and detect_date is not null) where rn <= 10 group by 1)
+select u.* from u left join c on c.h = u.ext_host_name where cut is null or detect_date is null or detect_date >= cut""")
+def round_history(spark, folder):
+    """The stored history after a whole round with its writes."""
+    stores = store_copy(spark, folder, "source_status", "seda_source", "link_detect", "seda_dataset")
+    pipelines.monitor_run(stores, now())
+    return stores.read("link_detect").select("ext_host_name", "link_num", "link_rate", "status", "detect_date")
+
+
 @query("""with c as (select ext_host_name h, min(detect_date) cut from (select *, row_number() over (partition by ext_host_name order by detect_date desc) rn from link_detect where ext_host_name is not null and detect_date is not null) where rn <= 10 group by 1)
 select l.* from link_detect l left join c on c.h = l.ext_host_name where cut is null or detect_date is null or detect_date >= cut""")
 def history_purge(spark, folder):

@@ -8,7 +8,8 @@ from shelfmark import plugins
 from shelfmark.functions.vector import vectors_of
 from shelfmark.operators import tags
 from shelfmark.params import TAGGING
-from shelfmark.plans.common import CUR, WS, registry, strip
+from shelfmark.plans import pipelines
+from shelfmark.plans.common import CUR, WS, registry, store_copy, strip
 from shelfmark.plans.linkage import OWN, UNIT
 from shelfmark.session import shared_path
 from shelfmark.sources import readers, sinks
@@ -297,9 +298,29 @@ def _initial(spark, folder):
 
 
 @query()
-def initial_edges(spark, folder):
-    """Co-occurrence graph that the initial mode builds."""
-    return _initial(spark, folder)[2].withColumn("weight", F.round("weight", 6))
+def graph_system(spark, folder):
+    """The stored edges, with the names of their tags, after the initial mode built vocabulary, counts and graph."""
+    stores = store_copy(spark, folder, "seda_dataset", "seda_dataset_vectors", "tag_vocabulary", "tag_cooccurrence")
+    pipelines.tag_run(stores, pipelines.INITIAL, F.lit("2026-01-01").cast("timestamp_ntz"))
+    names = stores.read("tag_vocabulary").select("tag_id", "tag_name")
+    x = stores.read("tag_cooccurrence").join(names.select(F.col("tag_id").alias("tag_id_1"), F.col("tag_name").alias("tag_1")), "tag_id_1").join(names.select(F.col("tag_id").alias("tag_id_2"), F.col("tag_name").alias("tag_2")), "tag_id_2")
+    return x.select("tag_1", "tag_2", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+@query()
+def init_tags(spark, folder):
+    """The records' stored tags after the initial mode."""
+    stores = store_copy(spark, folder, "seda_dataset", "seda_dataset_vectors", "tag_vocabulary", "tag_cooccurrence")
+    pipelines.tag_run(stores, pipelines.INITIAL, F.lit("2026-01-01").cast("timestamp_ntz"))
+    return current(stores.read("seda_dataset"), "id", "tags")
+
+
+@query()
+def increment_tags(spark, folder):
+    """The records' stored tags after the incremental mode, which makes the vectors that are missing."""
+    stores = store_copy(spark, folder, "seda_dataset", "seda_dataset_vectors", "tag_vocabulary", "tag_cooccurrence")
+    pipelines.tag_run(stores, pipelines.INCREMENTAL, F.lit("2026-01-01").cast("timestamp_ntz"))
+    return current(stores.read("seda_dataset"), "id", "tags")
 
 
 @query()
