@@ -388,7 +388,7 @@ def semantic(vectors: DataFrame, tag_vectors: DataFrame, top: int) -> DataFrame:
     """
     have = sorted((r[0], r[1]) for r in collect_small(tag_vectors.where("tag is not null and embedding is not null").select("tag", "embedding")))
     names = pa.array([t for t, _ in have], pa.string())
-    m = np.array([v for _, v in have], np.float64).reshape(len(have), -1)
+    m = np.array([v for _, v in have], np.float64).reshape(len(have), len(have[0][1]) if have else 0)
     m = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
     k = min(top, len(have))
 

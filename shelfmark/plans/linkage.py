@@ -146,7 +146,7 @@ MAPPED = "mp as (select cur.id, coalesce(pk.canonical_id, cur.id) canonical_id f
 
 
 def _links(spark, folder):
-    records = _current(spark, folder, *FIELDS)
+    records = stored(_current(spark, folder, *FIELDS))  # read for the links and for the choice
     return records, dedup.explicit_links(dedup.normalized(records))
 
 

@@ -89,3 +89,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_path(df.sparkSession, "table")
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates of the rows observed by the job that writes them, as ``cut_counting`` does."""
+    seen = Observation()
+    done = stored(df.observe(seen, *(c.alias(n) for n, c in counts.items())))
+    return done, seen.get

@@ -77,6 +77,38 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
     assert links.count() < 300
 
 
+def test_tables_find_what_all_pairs_give(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE", 16)
+    rng = np.random.default_rng(6)
+    n = 240
+    v = np.repeat(rng.normal(size=(n // 6, 16)), 6, axis=0) + rng.normal(size=(n, 16)) * 0.12
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[1] = v[0]
+    fp = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]
+    fp[1] = fp[0]
+    for i in range(0, n, 3):
+        fp[i + 2] = (fp[i] & 0xFF) | (fp[i + 2] & ~0xFF)
+    sig = [int(x) for x in rng.integers(0, 40, n)]
+    sig[1] = sig[0]
+    ids = [f"r{i:03}" for i in range(n)]
+    share = lambda a, b: any((a >> k) & 255 == (b >> k) & 255 for k in range(0, 64, 8))
+    want = closure([(ids[i], ids[j]) for i in range(n) for j in range(i) if v[i] @ v[j] >= 0.82 and (sig[i] == sig[j] or share(fp[i], fp[j]))])
+    marks = spark.createDataFrame([(i, [float(x) for x in row], f, s) for i, row, f, s in zip(ids, v, fp, sig)], "id string, v array<double>, simhash bigint, signature int")
+    links = blocking.similar_links(marks, Dedup(met=16, recall=0.999))
+    assert dict(components(links).collect()) == want and len(want) > 60
+    assert blocking.similar_links(marks.limit(0)).collect() == []
+    one, two = blocking.tables_for(1_000), blocking.tables_for(1_000_000)
+    assert two[0] == one[0] + 10 and one[1] < two[1] < 10 * one[1]
+
+
+def test_nearest_bucket_mates(spark):
+    v = {"a": [1.0, 0.0], "b": [0.99, 0.14], "c": [0.9, 0.436], "d": [0.0, 1.0], "e": [1.0, 0.0]}
+    b = spark.createDataFrame([("k", i) for i in "abcd"] + [("l", "a"), ("l", "e"), ("m", "gone")], "bucket string, id string")
+    x = spark.createDataFrame(list(v.items()), "id string, v array<double>")
+    got = {(r.bucket, r.id, r.other) for r in blocking.nearest_mates(b, x, Dedup(in_bucket=2)).collect()}
+    assert got == {("k", "a", "b"), ("k", "b", "a"), ("k", "c", "b"), ("l", "a", "e"), ("l", "e", "a")}
+
+
 def test_oversized_buckets_split(spark):
     p = Dedup(bucket=3)
     b = spark.createDataFrame([("k", f"r{i}") for i in range(5)] + [("s", "r0")], "bucket string, id string")

@@ -46,6 +46,53 @@ def test_streaks_hide_and_stay_hidden(spark):
     assert got["h7"].first_hidden == day(6) and got["x"].fail_streak == 1 and got["h0"].var5 == 0.0 and len(got) == 9
 
 
+def test_streaks_over_periods_equal_a_pass_over_the_whole(spark):
+    import random
+    import statistics
+
+    rng = random.Random(2)
+    rows = []
+    for site in "ab":
+        at = dt.datetime(2024, 1, 1)
+        for i in range(120):
+            at += dt.timedelta(days=rng.choice((0, 1, 9, 40)))
+            rows.append((site, at, f"h{i:03}" if rng.random() < 0.9 else None, rng.choice((None, 0.5, 0.9, 1.0, i / 1000)), rng.choice((monitor.PASS, monitor.FAIL, monitor.FAIL))))
+    want = {}
+    for site in "ab":
+        streak, first, rates = 0, None, []
+        for r in sorted({r for r in rows if r[0] == site}, key=lambda r: (r[1], r[2] or "", -1 if r[3] is None else r[3])):
+            streak = 0 if r[4] == monitor.PASS else streak + 1
+            first = first or (r[1] if streak >= 3 else None)
+            rates.append(r[3])
+            five = [x for x in rates[-5:] if x is not None]
+            want[r[:4]] = (streak, first, round(statistics.variance(five), 9) if len(five) > 1 else 0.0)
+    h = spark.createDataFrame(rows, "ext_host_name string, detect_date timestamp_ntz, id string, link_rate double, status string")
+    for period in ("month", "day", "year"):
+        got = monitor.streaks(h, Monitor(period=period)).collect()
+        by = sorted((r.site, r.detect_date, r.id or "", r.fail_streak, r.first_hidden, round(r.var5, 9)) for r in got)
+        assert by == sorted((k[0], k[1], k[2] or "", *x) for k, x in want.items())
+    assert monitor.streaks(h.limit(0)).collect() == []
+
+
+def test_policies_and_probes(spark):
+    calls = []
+
+    def transport(method, url, seconds):
+        calls.append((method, url))
+        if method == "HEAD" and "slow" in url:
+            raise OSError
+        return {"HEAD": 200, "GET": 301 if "slow" in url else 404, "RENDER": " T "}[method]
+
+    p = Monitor(api_sites=("api.example",), browser_sites=("web.example",))
+    own = (*monitor.policies(p), monitor.Policy("anything goes", "own", ("any.example",), lambda url: F.lit(True)))
+    urls = spark.createDataFrame([("https://a.example/x",), ("https://slow.example/x",), ("https://api.example/o/n",), ("https://web.example/y",), ("https://any.example/404",), (None,), ("",)], "url string")
+    asked = plugins.probing(monitor.policy(F.col("url"), p, own), F.concat(F.col("url"), F.lit("/second")), transport)(urls).withColumn("alive", monitor.alive(F.col("url"), p, own))
+    got = {r.url: r for r in asked.collect()}
+    assert got["https://slow.example/x"].head_status == [None, None] and got["https://slow.example/x"].get_status == 301 and got["https://slow.example/x"].alive
+    assert got["https://api.example/o/n"].secondary_status == 404 and not got["https://api.example/o/n"].alive and got["https://web.example/y"].title == " T "
+    assert got["https://any.example/404"].alive and got["https://a.example/x"].alive and not got[None].alive and not got[""].alive
+
+
 def test_purge_keeps_ties(spark):
     rows = [("s", day(i)) for i in range(12)] + [("s", day(2)), ("t", day(0)), (None, day(0)), ("s", None)]
     kept = monitor.purge(spark.createDataFrame(rows, "ext_host_name string, detect_date timestamp_ntz")).collect()

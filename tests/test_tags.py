@@ -122,7 +122,7 @@ def test_incremental_mode_makes_missing_vectors(spark, data):
 def test_initial_mode_builds_vocabulary_and_graph(spark, data):
     texts = [f"{r.dataset_name or ''} {r.dataset_desc or ''}".lower() for r in tagging._texts(spark, data).collect()]
     stored = {r.tag for r in tagging._vocabulary(spark, data).collect()}
-    edges = tagging.catalogue_edges(spark, data).collect()
+    edges = tagging.cooccurrence_edges(spark, data).collect()
     has = {t: {i for i, x in enumerate(texts) if t in x} for t in stored}
     want = {(a, b): len(has[a] & has[b]) for a in stored for b in stored if a < b and has[a] & has[b] and len(has[a] & has[b]) / (len(has[a]) * len(has[b])) ** 0.5 >= 0.1}
     assert {(e.tag_1, e.tag_2): e.n12 for e in edges} == want
@@ -143,6 +143,26 @@ def test_every_record_is_ranked_from_its_tags(spark):
     want = {(x.id, x.node): x.score for x in tags.pagerank(m, seeds).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert tags.record_ranks(m, nodes, seeds, top=1).count() == 3
+    few = tags.Spread(3, [(0, 2, 1.0), (1, 2, 1.0), (2, 0, 0.5), (2, 1, 0.5)], remembered=3)
+    assert np.allclose(few.rows([2, 0, 2]), tags.diffusion(3, [(0, 2, 1.0), (1, 2, 1.0), (2, 0, 0.5), (2, 1, 0.5)])[[2, 0, 2]]) and few.rows([]).shape == (0, 3)
+
+
+def test_best_tags_equal_a_join_of_both_scores(spark):
+    rng = np.random.default_rng(3)
+    names = ["sea ice", "lava", "rain", "rain rain", "no vector"]
+    r = spark.createDataFrame([("1", "Sea ice", "ice and rain rain"), ("2", "lava", None), ("3", None, "no"), ("4", None, None)], SCHEMA)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in ("1", "2", "4")], "id string, v array<double>")
+    t = spark.createDataFrame([(n, [float(x) for x in rng.normal(size=4)]) for n in names[:-1]], "tag string, embedding array<double>")
+    voc = spark.createDataFrame([(n,) for n in names] + [(None,)], "tag string")
+    got = {(x.id, x.tag): x.score for x in tags.best_tags(r, v, t, voc, 99).collect()}
+    sem, lex = tags.semantic(v, t, 99), tags.lexical(r, voc)
+    want = {(x.id, x.tag): x.s for x in sem.join(lex, ["id", "tag"], "full_outer").select("id", "tag", tags.fused(F.col("sem"), F.col("lex")).alias("s")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-8 for k in want) and ("3", "no vector") in got
+    top = tags.best_tags(r, v, t, voc, 2).collect()
+    assert max(x.rank for x in top) == 2 and all(x.score >= sorted((s for (i, _), s in got.items() if i == x.id), reverse=True)[:2][-1] - 1e-9 for x in top)
+    assert tags.semantic(v, t.limit(0), 5).collect() == [] and tags.best_tags(r, v, t, voc.limit(0), 5).collect() == []
+    mean = {x.tag: x.embedding for x in tags.mean_vectors(spark.createDataFrame([("1", "a"), ("1", "a"), ("3", "b")], "id string, tag string"), v, 4).collect()}
+    assert set(mean) == {"a"} and abs(sum(x * x for x in mean["a"]) - 1) < 1e-6
 
 
 def test_vocabulary_and_sets(spark):
