@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import strip
-from shelfmark.session import cut, cut_counting
+from shelfmark.session import stored, stored_counting
 
 LINKING_STAGES = ("name", "url", "mapping")
 THRESHOLD = 0.82
@@ -60,7 +60,7 @@ def _collapse(parents: DataFrame) -> DataFrame:
     while True:
         hop = lambda a, b: _sorted(parents.select(F.col("v").alias(a), F.col("p").alias(b)))  # noqa: B023, E731
         far = parents.join(hop("p", "g"), "p").join(hop("g", "t"), "g").join(hop("t", "u"), "t")
-        jumped, seen = cut_counting(far.select("v", "t", F.col("u").alias("p")), moved=F.count_if(F.col("t") != F.col("p")))
+        jumped, seen = stored_counting(far.select("v", "t", F.col("u").alias("p")), moved=F.count_if(F.col("t") != F.col("p")))
         parents = jumped.select("v", "p")
         if not seen["moved"]:
             return parents
@@ -73,10 +73,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges give no rows.
     """
     e = edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    e, left = cut_counting(e, n=F.count(F.lit(1)))
+    e, left = stored_counting(e, n=F.count(F.lit(1)))
     label = None
     while left["n"]:
-        root = _collapse(cut(_hook(e)))
+        root = _collapse(stored(_hook(e)))
         if label is None:
             label = root.select(F.col("v").alias("id"), F.col("p").alias("root"))
         else:
@@ -84,7 +84,7 @@ def components(edges: DataFrame) -> DataFrame:
         ra = root.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         rb = root.select(F.col("v").alias("b"), F.col("p").alias("rb"))
         # every component doubles at least per round, so the labels' plan stays a few joins over checkpoints
-        e, left = cut_counting(e.join(_sorted(ra), "a").join(_sorted(rb), "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n=F.count(F.lit(1)))
+        e, left = stored_counting(e.join(_sorted(ra), "a").join(_sorted(rb), "b").where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), n=F.count(F.lit(1)))
     if label is None:
         return e.select(F.col("a").alias("group_id"), F.col("b").alias("id"))
     first = label.groupBy("root").agg(F.min("id").alias("group_id"))
