@@ -33,6 +33,8 @@ LANGUAGES = tuple(NAMES)
 DIMENSIONS, TRAIN_DOCUMENTS, TRAIN_CHARS, REMEMBERED = 1024, 200, 20_000, 20_000
 #: Weight of a whole word beside each of its three-letter grams; steps and rate of the retraining.
 WHOLE, STEPS, RATE = 3, 30, 0.5
+#: Rotations of the letters that are kept as tables.
+KEPT_TURNS = 100
 #: Log-odds per unit of cosine, and those a change of language must bring in.
 SCALE, SWITCH = 20.0, 2.0
 SEED = 7
@@ -73,7 +75,7 @@ def sentences(text: str | None) -> list[str]:
             unit = unit.strip()
             if not END.search(unit):
                 continue
-            words = WORD.findall(ADDRESS.sub(" ", unit))
+            words = WORD.findall(without_addresses(unit))
             size = sum(len(w) if HAN.match(w) else 2 for w in words)
             if size < 6:
                 continue
@@ -83,46 +85,111 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
+def without_addresses(unit: str) -> str:
+    """The unit without addresses, which are looked for only where a sign of one is."""
+    return ADDRESS.sub(" ", unit) if "@" in unit or "//" in unit or "www." in unit else unit
+
+
+def total(rows: np.ndarray) -> np.ndarray:
+    """Sum of rows of +1 and -1 in 16 bits; of more rows than these hold as near as they do."""
+    return rows.sum(0, dtype=np.int16) if len(rows) < 15_000 else np.clip(rows.sum(0, dtype=np.int32), -15_000, 15_000).astype(np.int16)
+
+
 class Space:
-    """Vectors of letters, words and sentences."""
+    """Vectors of letters, words and sentences, made for many at once."""
 
     def __init__(self, dimensions: int = DIMENSIONS, seed: int = SEED):
         self.d, self.seed = dimensions, seed
-        self.letters: dict[str, np.ndarray] = {}
-        self.words: dict[str, np.ndarray] = {}
-
-    def letter(self, c: str) -> np.ndarray:
-        v = self.letters.get(c)
-        if v is None:
-            v = np.random.default_rng((self.seed, ord(c))).integers(0, 2, self.d, np.int8) * 2 - 1
-            self.letters[c] = v
-        return v
-
-    def word(self, w: str) -> np.ndarray:
-        v = self.words.get(w)
-        if v is None:
-            if HAN.match(w):
-                x = np.stack([self.letter(c) for c in w]).astype(np.int16)
-                v = x.sum(0)
-                if len(w) > 1:
-                    v = v + (np.roll(x[:-1], 1, 1) * x[1:]).sum(0)
+        self.row: dict[str, int] = {}
+        self.base = np.zeros((0, dimensions), np.int8)
+        self.turned: dict[int, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.vectors = np.zeros((1024, dimensions), np.int16)
+
+    def letters(self, text: str) -> np.ndarray:
+        """Row of each letter; new letters get theirs, the same in every worker."""
+        new = [c for c in dict.fromkeys(text) if c not in self.row]
+        if new:
+            drawn = [np.random.default_rng((self.seed, ord(c))).integers(0, 2, self.d, np.int8) * 2 - 1 for c in new]
+            self.row.update({c: len(self.row) + i for i, c in enumerate(new)})
+            self.base = np.vstack([self.base, np.array(drawn, np.int8)])
+            self.turned = {}
+        return np.fromiter(map(self.row.__getitem__, text), np.int64, len(text))
+
+    def turn(self, shift: int, rows: np.ndarray) -> np.ndarray:
+        """Letters permuted ``shift`` times: rotated. The tables of small shifts are kept."""
+        if shift > KEPT_TURNS:
+            return np.roll(self.base[rows], shift, axis=1)
+        if shift not in self.turned:
+            self.turned[shift] = np.roll(self.base, shift, axis=1)
+        return self.turned[shift][rows]
+
+    def make(self, words: list[str]) -> np.ndarray:
+        """One row per word: its three-letter grams and itself as a whole; of scripts without blanks its letters and pairs."""
+        out = np.zeros((len(words), self.d), np.int16)
+        han = np.array([bool(HAN.match(w)) for w in words], bool)
+        for which, pad, size in ((np.flatnonzero(han), "", 2), (np.flatnonzero(~han), " ", 3)):
+            if not len(which):
+                continue
+            texts = [f"{pad}{words[i]}{pad}" for i in which]
+            length = np.array([len(t) for t in texts])
+            code = self.letters("".join(texts))
+            start = np.cumsum(length) - length
+            owner = np.repeat(np.arange(len(texts)), length)
+            first = np.flatnonzero(np.arange(len(code)) + size <= (start + length)[owner])
+            if len(first):
+                grams = self.turn(size - 1, code[first])
+                for k in range(1, size):
+                    grams = grams * self.turn(size - 1 - k, code[first + k])
+                own, at = np.unique(owner[first], return_index=True)
+                for i, lo, hi in zip(own.tolist(), at.tolist(), [*at[1:].tolist(), len(first)]):
+                    out[which[i]] += total(grams[lo:hi])
+            if size == 2:
+                for i, lo, n in zip(which.tolist(), start.tolist(), length.tolist()):
+                    out[i] += total(self.base[code[lo : lo + n]])
             else:
-                x = np.stack([self.letter(c) for c in f" {w} "]).astype(np.int16)
-                v = (np.roll(x[:-2], 2, 1) * np.roll(x[1:-1], 1, 1) * x[2:]).sum(0)
-                v = v + WHOLE * np.prod([np.roll(c, 3 * i + 3) for i, c in enumerate(x[1:-1])], axis=0)
-            v = v.astype(np.int16)
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[w] = v
-        return v
+                whole = np.ones((len(texts), self.d), np.int8)
+                for k in range(int(length.max()) - 2):
+                    on = np.flatnonzero(length - 2 > k)
+                    whole[on] *= self.turn(3 * k + 3, code[start[on] + 1 + k])
+                out[which] += WHOLE * whole.astype(np.int16)
+        return out
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Row in ``vectors`` of each word; words not remembered are made together."""
+        fresh = [w for w in dict.fromkeys(words) if w not in self.words]
+        if len(self.words) + len(fresh) > REMEMBERED:
+            self.words, fresh = {}, list(dict.fromkeys(words))
+        for lo in range(0, len(fresh), 500):
+            part = fresh[lo : lo + 500]
+            have = len(self.words)
+            while have + len(part) > len(self.vectors):
+                self.vectors = np.vstack([self.vectors, np.zeros_like(self.vectors)])
+            self.vectors[have : have + len(part)] = self.make(part)
+            self.words.update(zip(part, range(have, have + len(part))))
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
 
     def bundle(self, units: list[str]) -> np.ndarray:
         """One row per sentence, of length 1."""
         out = np.zeros((len(units), self.d), np.float32)
-        for i, unit in enumerate(units):
-            ws = WORD.findall(ADDRESS.sub(" ", unit.lower()))
-            if ws:
-                out[i] = sum((self.word(w) for w in ws[1:]), self.word(ws[0]).astype(np.int32))
+        said = [WORD.findall(without_addresses(unit.lower())) for unit in units]
+        at, held = 0, 0
+        for i in range(len(units) + 1):
+            # some thousand words at a time
+            if i == len(units) or held > 4000:
+                some = [k for k in range(at, i) if said[k]]
+                if some:
+                    row = self.rows([w for k in some for w in said[k]])
+                    lo = 0
+                    for k in some:
+                        n = len(said[k])
+                        # a letter adds at most two to a number, a word three more: short sentences can't overflow
+                        kind = np.int16 if 4 * len(units[k]) + 3 * n < 30_000 else np.int32
+                        out[k] = self.vectors[row[lo : lo + n]].sum(0, dtype=kind)
+                        lo += n
+                at, held = i, 0
+            if i < len(units):
+                held += len(said[i])
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm > 0, norm, 1)
 
