@@ -21,13 +21,13 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import FILLERS, TAG
 from shelfmark.functions.urls import page_key
-from shelfmark.session import cut, hadoop_path, shared_path, stored
+from shelfmark.session import hadoop_path, shared_path, stored, stored_counting
 
 #: Kinds of keys; letters of a text in a key; rows a key range is meant to have; sampled keys per range.
 KINDS = ("page", "title", "forward", "backward")
@@ -46,6 +46,8 @@ HISTORY, UNKNOWN = -1, 2**30
 TOKEN = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_]+")
 MARKUP, DIGITS = re.compile(TAG), re.compile(r"\d+")
 EMPTY = frozenset(FILLERS)
+#: Of ASCII texts: every sign but letters and digits as a blank; the bytes that are no digits.
+SIGNS, NO_DIGITS = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128)), bytes(c for c in range(256) if not 48 <= c < 58)
 WORDS = "name string, head string, tail string, head_tokens int, tokens int, head_numbers string, numbers string, title int, half_1 int, half_2 int, phrase string"
 
 
@@ -70,6 +72,15 @@ def last_sentence(text: str) -> int:
     return 1 + max(core.rfind(c) for c in ".!?。\n")
 
 
+def tokens(text: str) -> list[str]:
+    """The words of a plain text; single letters of scripts without blanks."""
+    return text.translate(SIGNS).split() if text.isascii() else TOKEN.findall(text)
+
+
+def digits(text: str) -> str:
+    return text.encode().translate(None, NO_DIGITS).decode() if text.isascii() else "".join(DIGITS.findall(text))
+
+
 def _hash(text: str) -> int:
     return zlib.crc32(text.encode()) - 2**31
 
@@ -80,17 +91,17 @@ def words_of(name: str | None, desc: str | None) -> tuple | None:
     if not n or not d:
         return None
     at = last_sentence(d)
-    title, head, tail = TOKEN.findall(n), TOKEN.findall(d[:at]), TOKEN.findall(d[at:])
+    title, head, tail = tokens(n), tokens(d[:at]), tokens(d[at:])
     if not title or not (head or tail):
         return None
     if not head or not tail:
         head, tail, at = head + tail, [], len(d)
-    said, own = "".join(DIGITS.findall(n)), "".join(DIGITS.findall(d[:at]))
+    said, own, more = digits(n), digits(d[:at]), digits(d[at:])
     numbers = lambda x: hashlib.md5(f"{said}|{''.join(sorted(x))}".encode()).hexdigest()[:10]
     k = len(title)
-    last = " ".join(tail)
+    last, mine = " ".join(tail), numbers(own)
     return (
-        " ".join(title), " ".join(head), last, len(head), len(head) + len(tail), numbers(own), numbers(own + "".join(DIGITS.findall(d[at:]))),
+        " ".join(title), " ".join(head), last, len(head), len(head) + len(tail), mine, numbers(own + more) if more else mine,
         _hash("".join(title)), _hash(f"{k} " + " ".join(title[: k // 2])), _hash(f"{k} " + " ".join(title[k // 2 :])), DIGITS.sub("#", last) or None,
     )
 
@@ -213,11 +224,18 @@ class Runs:
     def add(self, keyed: DataFrame) -> str:
         """Write one more run: a file per key range, sorted by key; its name."""
         name = f"run-{len(self.names)}-{zlib.crc32(str(self.names).encode()):08x}"
-        keyed.repartition("range").sortWithinPartitions("range", "kind", "key", "batch", "id").write.mode("overwrite").option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
+        seen = Observation()
+        rows = keyed.repartition("range").sortWithinPartitions("range", "kind", "key", "batch", "id").observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("range").parquet(f"{self.folder}/{name}")
         self.names.append(name)
-        self.sizes.append(self.read(names=[name]).count())
+        self.sizes.append(seen.get["n"])  # counted by the job that writes
         return name
 
+    def ranges(self, name: str) -> list[int]:
+        """The key ranges a run touches: its folders."""
+        fs, at = hadoop_path(self.spark, f"{self.folder}/{name}")
+        return sorted(int(f.getPath().getName().split("=")[1]) for f in fs.listStatus(at) if f.getPath().getName().startswith("range="))
+
     def compact(self, everything: bool = False) -> None:
         """Merge the last runs into one while the one before is less than twice as large, or all; of one key's equal texts the first stays."""
         first, total = len(self.names) - 1, self.sizes[-1] if self.sizes else 0
@@ -275,9 +293,8 @@ def window_pairs(runs: Runs, name: str) -> DataFrame:
     lengths by more than the edits allowed) are left out at once; equal texts are sure.
     """
     new = runs.read(names=[name])
-    touched = [r[0] for r in new.select("range").distinct().collect()]  # at most the number of ranges
     pick = ["text", "batch", "id", "title", "half_1", "half_2", "n"]
-    other = runs.read(touched).select("kind", "key", *(F.col(c).alias(f"o_{c}") for c in pick))
+    other = runs.read(runs.ranges(name)).select("kind", "key", *(F.col(c).alias(f"o_{c}") for c in pick))
     new = new.select("kind", "key", *pick)
     x = other.join(F.broadcast(new) if runs.sizes[runs.names.index(name)] <= BROADCAST_ROWS else new, ["kind", "key"])
     same = F.col("text") == F.col("o_text")
@@ -369,11 +386,12 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
     """
     x = links.join(canonical.select(F.col("id").alias("other_id"), F.col("canonical_id").alias("c")), "other_id", "left")
     best = F.min(F.struct(F.col("c").isNull().alias("a"), (~F.col("page")).alias("b"), F.coalesce("c", F.lit("")).alias("d"), "other_batch", "other_id")).alias("m")
-    node = cut(x.groupBy("id").agg(best).select("id", F.when(~F.col("m.a"), F.col("m.d")).alias("done"), F.col("m.other_id").alias("up")))
-    while not node.where("done is null").isEmpty():
+    unknown = {"open": F.count_if(F.col("done").isNull())}
+    node, left = stored_counting(x.groupBy("id").agg(best).select("id", F.when(~F.col("m.a"), F.col("m.d")).alias("done"), F.col("m.other_id").alias("up")), **unknown)
+    while left["open"]:
         up = node.select(F.col("id").alias("up"), F.col("done").alias("d2"), F.col("up").alias("up2"), F.lit(True).alias("there"))
         # a parent without links is new itself: the first record of its dataset
-        node = cut(node.join(up, "up", "left").select("id", F.coalesce("done", F.when(F.col("there").isNull(), F.col("up")), "d2").alias("done"), F.coalesce("up2", "up").alias("up")))
+        node, left = stored_counting(node.join(up, "up", "left").select("id", F.coalesce("done", F.when(F.col("there").isNull(), F.col("up")), "d2").alias("done"), F.coalesce("up2", "up").alias("up")), **unknown)
     return node.select(F.col("done").alias("canonical_id"), "id")
 
 
