@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 FILLERS = ("", "-", "--", "?", "n/a", "na", "tbd", "unknown", "null", "none", "nan", "not available", "(empty)", "暂无", "无", "about:blank", "#", "http://", "https://")
 
 TAG = r"<[^>]*>"
+#: The signs with the Unicode property White_Space.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def strip(c: Column) -> Column:
     """Python's ``strip``: every Unicode blank at either end (Spark's ``trim`` knows only U+0020)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def informative(c: Column) -> Column:

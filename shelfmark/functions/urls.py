@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import strip
+
 #: RFC 3986, appendix B: scheme, authority, path.
 SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)"
 #: Schemes whose last path segment may carry ``;parameters`` ('' = none given).
@@ -48,14 +50,19 @@ def page_key(u: Column) -> Column:
     trailing slashes, ``index.htm(l)``, fragments and tracking parameters (``utm_*``) make no difference; host, path and
     the other parameters (in order of their text) do.
     """
-    x = F.regexp_replace(F.regexp_replace(F.coalesce(u, F.lit("")), r"(?U)^\s+|\s+$", ""), r"#.*$", "")
-    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(x, SPLIT, 2)), r":(80|443)$", ""), r"\.$", "")
+    # every step is taken only where the address shows a need for it
+    x = F.substring_index(strip(F.coalesce(u, F.lit(""))), "#", 1)
+    host = F.lower(F.regexp_extract(x, SPLIT, 2))
+    host = F.when(host.contains(":"), F.regexp_replace(host, r":(80|443)$", "")).otherwise(host)
+    host = F.when(host.endswith("."), F.regexp_replace(host, r"\.$", "")).otherwise(host)
     path = F.regexp_extract(x, SPLIT, 3)
     path = F.when(path.contains("%"), F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)).otherwise(path)
-    path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"/(?i:index\.html?)$", ""), r"/+$", "")
-    query = F.regexp_extract(x, r"\?(.*)$", 1)
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_")))
-    query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
+    path = F.when(path.contains("//"), F.regexp_replace(path, r"/{2,}", "/")).otherwise(path)
+    path = F.when(F.lower(path).contains("/index.htm"), F.regexp_replace(path, r"/(?i:index\.html?)$", "")).otherwise(path)
+    path = F.when(path.endswith("/"), F.regexp_replace(path, r"/+$", "")).otherwise(path)
+    at = F.locate("?", x)
+    kept = F.array_sort(F.filter(F.split(F.when(at > 0, F.substr(x, at + 1)), "&"), lambda p: (p != "") & ~F.lower(p).startswith("utm_")))
+    query = F.when(F.coalesce(F.size(kept), F.lit(0)) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when((host != "") & ((path != "") | (query != "")), F.concat(host, path, query))
 
 
