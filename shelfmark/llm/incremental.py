@@ -200,6 +200,7 @@ class Runs:
     names: list[str] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
     accepted: list[DataFrame] = field(default_factory=list)
+    rows: int = 0
 
     def at(self, keyed: DataFrame) -> DataFrame:
         """With the key range of each row: ranges of a kind are numbered on from those of the kind before. Limits are searched in two levels."""
@@ -273,6 +274,7 @@ def open_runs(history: DataFrame) -> Runs:
     runs = Runs(spark, shared_path(spark, "runs"), limits, added)
     runs.add(runs.at(keyed))
     runs.accepted.append(mine)
+    runs.rows = n
     return runs
 
 
@@ -398,23 +400,28 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
 def recognise(runs: Runs, incoming: DataFrame) -> DataFrame:
     """(canonical_id, id) of every new record of a dataset accepted before; the runs then hold the new records too.
 
-    ``incoming`` as by ``batch_of``; several batches may come at once, each record is compared with what was accepted
-    before it, in the order of (batch, id). A record whose id was accepted before is no duplicate of itself. Empty
-    tables give no rows.
+    ``incoming`` as by ``batch_of``; several batches may come at once. They are merged into the runs one after the other
+    (small ones together, see ``merges``), each record is compared with what was accepted before it, in the order of
+    (batch, id), and what the merges found is judged in one pass. A record whose id was accepted before is no duplicate
+    of itself. Empty tables give no rows.
     """
-    fresh = without_additions(incoming, runs.added)
-    name = runs.add(runs.at(heads(fresh)))
-    pairs = stored(window_pairs(runs, name).unionByName(first_copies(fresh).withColumn("sure", F.lit(True))))
+    fresh = stored(without_additions(incoming, runs.added))
+    parts = [stored(first_copies(fresh).withColumn("sure", F.lit(True)))]
+    for first, last in merges(fresh, runs.rows):
+        name = runs.add(runs.at(heads(fresh.where(F.col("batch").between(first, last)))))
+        parts.append(stored(window_pairs(runs, name)))
+        runs.compact()
     known = reduce(DataFrame.unionByName, [a.select("id", "canonical_id") for a in runs.accepted])
-    found = resolve(checked(pairs, [*runs.accepted, fresh]), known)
+    found = resolve(checked(reduce(DataFrame.unionByName, parts), [*runs.accepted, fresh]), known)
     mine = fresh.join(found.select("id", F.col("canonical_id").alias("_c")), "id", "left").withColumn("canonical_id", F.coalesce("_c", "id")).drop("_c")
-    runs.accepted.append(stored(mine))
-    runs.compact()
+    mine, seen = stored_counting(mine, n=F.count(F.lit(1)))
+    runs.accepted.append(mine)
+    runs.rows += seen["n"]
     return found
 
 
 def merges(incoming: DataFrame, rows: int) -> list[tuple[int, int]]:
-    """(first, last) batch of each merge: batches in order, together until they hold AT_ONCE of ``rows``."""
+    """(first, last) batch of each merge: batches in order, together until they hold AT_ONCE of the ``rows`` accepted so far."""
     sizes = incoming.groupBy("batch").count().orderBy("batch").collect()  # a row per batch
     out, held = [], 0
     for batch, n in sizes:
@@ -427,8 +434,6 @@ def merges(incoming: DataFrame, rows: int) -> list[tuple[int, int]]:
 
 
 def recognise_all(history: DataFrame, incoming: DataFrame) -> tuple[DataFrame, Runs]:
-    """((canonical_id, id) of all batches, the runs after them): the batches merged one after the other into the runs of the history."""
+    """((canonical_id, id) of all batches, the runs after them)."""
     runs = open_runs(history)
-    found = [recognise(runs, incoming.where(F.col("batch").between(a, b))) for a, b in merges(incoming, history.count())]
-    none = history.sparkSession.createDataFrame([], "canonical_id string, id string")
-    return reduce(DataFrame.unionByName, found, none), runs
+    return recognise(runs, incoming), runs
