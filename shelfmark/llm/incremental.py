@@ -360,12 +360,16 @@ def same_description(a: str, b: str) -> bool:
     return min(len(x), len(y)) > most and _edits(x, y, most) <= most
 
 
-def checked(pairs: DataFrame, accepted: list[DataFrame]) -> DataFrame:
-    """(batch, id, other_batch, other_id, page): the pairs that are one dataset: pages and equal texts as they are, the others by their words."""
+def checked(pairs: DataFrame, accepted: list[DataFrame], few: bool = False) -> DataFrame:
+    """(batch, id, other_batch, other_id, page): the pairs that are one dataset: pages and equal texts as they are, the others by their words.
+
+    few: whether the pairs to be looked at are no more than BROADCAST_ROWS, so that their ids go to where the texts lie.
+    """
     names = ["batch", "id", "other_batch", "other_id"]
     sure = pairs.where("page or sure").groupBy(*names).agg(F.max("page").alias("page"))
     open_ = pairs.where("not page and not sure").select(*names).distinct()
     need = open_.select(F.col("id").alias("k")).union(open_.select(F.col("other_id").alias("k"))).distinct()
+    need = F.broadcast(need) if few else need
     have = reduce(DataFrame.unionByName, [a.select(F.col("id").alias("k"), "name", "desc") for a in accepted]).join(need, "k", "left_semi")
     one = have.select(F.col("k").alias("id"), F.col("name").alias("n1"), F.col("desc").alias("d1"))
     two = have.select(F.col("k").alias("other_id"), F.col("name").alias("n2"), F.col("desc").alias("d2"))
@@ -406,13 +410,16 @@ def recognise(runs: Runs, incoming: DataFrame) -> DataFrame:
     of itself. Empty tables give no rows.
     """
     fresh = stored(without_additions(incoming, runs.added))
-    parts = [stored(first_copies(fresh).withColumn("sure", F.lit(True)))]
+    sizes = {"n": F.count_if(~F.col("page") & ~F.col("sure"))}
+    part, seen = stored_counting(first_copies(fresh).withColumn("sure", F.lit(True)), **sizes)
+    parts, open_ = [part], seen["n"]
     for first, last in merges(fresh, runs.rows):
         name = runs.add(runs.at(heads(fresh.where(F.col("batch").between(first, last)))))
-        parts.append(stored(window_pairs(runs, name)))
+        part, seen = stored_counting(window_pairs(runs, name), **sizes)
+        parts, open_ = [*parts, part], open_ + seen["n"]
         runs.compact()
     known = reduce(DataFrame.unionByName, [a.select("id", "canonical_id") for a in runs.accepted])
-    found = resolve(checked(reduce(DataFrame.unionByName, parts), [*runs.accepted, fresh]), known)
+    found = resolve(checked(reduce(DataFrame.unionByName, parts), [*runs.accepted, fresh], open_ <= BROADCAST_ROWS), known)
     mine = fresh.join(found.select("id", F.col("canonical_id").alias("_c")), "id", "left").withColumn("canonical_id", F.coalesce("_c", "id")).drop("_c")
     mine, seen = stored_counting(mine, n=F.count(F.lit(1)))
     runs.accepted.append(mine)
