@@ -1,15 +1,15 @@
 """Most similar vectors for every vector: additive quantisation, lookup-table scoring, exact reranking.
 
-A vector is the sum of one entry of each of several codebooks over all dimensions; the entries are chosen by beam search
-and stored with the length of their sum. The first codebook also cuts space into cells, and in large collections the
-second cuts every cell again, so that the rows of a cell stay few. Every vector is compared with
-the vectors of the cells nearest to it: scores come from tables (products of the query with all codebook entries), and
-the best of them are reranked by exact cosine.
-
-Cells lie together in regions, one task each: a record goes to the region of its own cell, as row and as query, and to
-the other regions its probes fall into, as query only. Regions expected to be large are cut into slices by a hash of
-the id. Of more than ``k + 1`` copies of one vector only the ``k + 1`` smallest ids are indexed: they are the
-neighbours of all the others.
+A sample of the collection cuts space into cells, and cells lie together in regions, one task each: a record goes to the
+region of its own cell, as row and as query, and to the regions of the other cells near it, as query only. There the
+region's own rows train its codebooks: a vector is the sum of one entry of each of several books over all dimensions; the
+entries are chosen by beam search and stored with the length of their sum. The first book cuts the region into cells of
+few rows, however many rows the collection has and however dense they lie. A query is compared with the rows of the cells
+nearest to it: scores come from tables (products of the query with all codebook entries), and the best are reranked by
+exact cosine. A task holds its rows; queries stream past them.
+
+Regions expected to be very large are cut into slices by a hash of the id. Of more than ``k + 1`` copies of one vector only
+the ``k + 1`` smallest ids are indexed: they are the neighbours of all the others.
 """
 
 from __future__ import annotations
@@ -27,16 +27,19 @@ from shelfmark.session import collect_small, cut
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: vectors that train the codebooks, about (the bound); row_cell: rows a cell is meant to have; most_cells: cells
-    of the first codebook at most, of whose entries the sample must tell (more rows are cut by the second book); entries,
-    codebooks: of the residual books; beam: partial encodings kept; probes: cells searched at most; margin: how much less near than
-    the nearest a cell may be to be searched; cell_best, rerank: candidates
-    kept by table score in a cell and in a region; region: rows a region is meant to have; tasks: of the search, at most."""
+    """sample: vectors that cut space into cells, about (the bound); row_cell: rows a cell is meant to have; most_cells: cells
+    of that cut at most, of which the sample must tell (beyond, the regions cut more); local: rows that train the books of a
+    region, at most; entries, codebooks: of the residual books; beam: partial encodings kept; probes: cells searched at most, by
+    either cut (twice as many by the first where its cells hold more rows than meant); margin: how much less near than the
+    nearest a cell may be to be searched; cell_best, rerank: candidates kept by table score in a cell and in a region;
+    region: rows a region is meant to have; slice: rows of a region that are searched in one task, about; tasks: of the
+    search, at most."""
 
     dimensions: int = 64
     sample: int = 20_000
     row_cell: int = 150
     most_cells: int = 2048
+    local: int = 4096
     entries: int = 96
     codebooks: int = 7
     beam: int = 3
@@ -45,6 +48,7 @@ class Settings:
     cell_best: int = 100
     rerank: int = 200
     region: int = 4000
+    slice: int = 40_000
     tasks: int = 20_000
     seed: int = 11
 
@@ -77,25 +81,20 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 class Books:
     """The codebooks: the cells' centres, then the residual books."""
 
-    def __init__(self, books: list[np.ndarray], beam: int, sub: int = 1):
-        """sub: cells that the second book cuts each cell of the first into (1: none)."""
-        self.books, self.beam, self.sub = books, beam, sub
-
-    def cell(self, codes: np.ndarray) -> np.ndarray:
-        """The cell of each row of codes."""
-        return codes[:, 0] * self.sub + codes[:, 1] if self.sub > 1 else codes[:, 0]
+    def __init__(self, books: list[np.ndarray], beam: int):
+        self.books, self.beam = books, beam
 
     @staticmethod
-    def train(x: np.ndarray, cells: int, s: Settings, sub: int = 1) -> Books:
+    def train(x: np.ndarray, cells: int, s: Settings) -> Books:
         """Books of residuals of residuals, then fitted together by least squares to the codes of a beam search."""
         rng = np.random.default_rng(s.seed)
         books, rest = [], x
-        for size in [cells] + [sub] * (sub > 1) + [s.entries] * s.codebooks:
+        for size in [cells] + [s.entries] * s.codebooks:
             centres = kmeans(rest, size, rng)
             books.append(centres)
             near = np.concatenate([(2 * b @ centres.T - (centres**2).sum(1)).argmax(1) for b in np.array_split(rest, max(1, len(rest) // 4096))])
             rest = rest - centres[near]
-        out = Books(books, s.beam, sub)
+        out = Books(books, s.beam)
         codes = out.encode(x)
         sizes = [len(b) for b in books]
         base = np.cumsum([0, *sizes[:-1]])
@@ -108,7 +107,7 @@ class Books:
             right += hot.T @ x[part]
         flat = np.concatenate(books)
         fitted = flat + np.linalg.solve(gram + np.eye(total, dtype=np.float32), right - gram @ flat)
-        return Books([b.astype(np.float32) for b in np.split(fitted, base[1:])], s.beam, sub)
+        return Books([b.astype(np.float32) for b in np.split(fitted, base[1:])], s.beam)
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes (rows x books): the best of ``beam`` partial sums, extended book by book."""
@@ -145,98 +144,101 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _regions(books: Books, codes: np.ndarray, n: int, target: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """Region of each cell, and slices of each region, from the rows of the cells expected of n, given the codes of a sample.
+def _regions(centres: np.ndarray, own: np.ndarray, n: int, s: Settings, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Region of each cell, and slices of each region, from the rows of the cells expected of n, given the cells of a sample.
 
-    While there are fewer regions than first cells, regions are groups of near ones; beyond, every cell is a region.
+    While there are fewer regions than cells, regions are groups of near ones; beyond, every cell is a region.
     """
-    centres, sub = books.books[0], books.sub
-    first = np.bincount(codes[:, 0], minlength=len(centres)) * (n / len(codes))
-    # a sample tells little of single cells of the second cut: its shares are taken alike everywhere
-    rows = np.outer(first, np.bincount(codes[:, 1], minlength=sub) / len(codes)).ravel() if sub > 1 else first
-    count = int(max(1, round(n / target)))
+    rows = np.bincount(own, minlength=len(centres)) * (n / len(own))
+    count = int(max(1, round(n / s.region)))
     if count < len(centres):
         middle = kmeans(centres, count, rng)
-        region = np.repeat((2 * centres @ middle.T - (middle**2).sum(1)).argmax(1), sub)
+        region = (2 * centres @ middle.T - (middle**2).sum(1)).argmax(1)
     else:
-        region, count = np.arange(len(rows)), len(rows)
-    return region, np.maximum(1, np.ceil(np.bincount(region, rows, count) / (2 * target))).astype(np.int64)
+        region, count = np.arange(len(centres)), len(centres)
+    return region, np.maximum(1, np.ceil(np.bincount(region, rows, count) / s.slice)).astype(np.int64)
 
 
-def _probes(v: np.ndarray, books: Books, own: np.ndarray, s: Settings) -> np.ndarray:
-    """Cells to search for each vector: the nearest ones, of those as near as the nearest but for the margin, and its own; -1 fills up."""
-    centres, sub = books.books[0], books.sub
+def _probes(v: np.ndarray, centres: np.ndarray, wide: int, margin: float) -> np.ndarray:
+    """Cells to search for each vector, the nearest first: ``wide`` at most, those as near as the nearest but for the margin; -1 fills up."""
     near = v @ centres.T - (centres**2).sum(1) / 2
-    wide = min(s.probes, len(centres))
+    wide = min(wide, len(centres))
     probe = np.argpartition(-near, wide - 1, axis=1)[:, :wide]
     level = np.take_along_axis(near, probe, 1)
-    if sub > 1:
-        inner = books.books[1]
-        more = (v @ inner.T - (inner**2).sum(1) / 2)[:, None, :] - (centres[probe] @ inner.T)
-        level, probe = (level[:, :, None] + more).reshape(len(v), -1), (probe[:, :, None] * sub + np.arange(sub)).reshape(len(v), -1)
-        wide = min(2 * s.probes, probe.shape[1])
-        best = np.argpartition(-level, wide - 1, axis=1)[:, :wide]
-        level, probe = np.take_along_axis(level, best, 1), np.take_along_axis(probe, best, 1)
-    probe = np.where(level >= level.max(1, keepdims=True) - s.margin, probe, -1)
-    # the place of the farthest cell goes to the own one, where that isn't among them
-    last = level.argmin(1)
-    rows = np.arange(len(v))
-    probe[rows, last] = np.where((probe == own[:, None]).any(1), probe[rows, last], own)
-    return probe
-
-
-def _search(rows: dict, queries: dict, books: Books, k: int, s: Settings):
-    """(query, neighbour, cosine) of one region: rows and queries are dicts of arrays."""
-    d = s.dimensions
-    ids, vec, cell, codes, scale = rows["id"], rows["vec"], rows["cell"], rows["codes"], rows["scale"]
-    order = np.argsort(cell, kind="stable")
-    begin = dict(zip(*np.unique(cell[order], return_index=True)))
-    ends = np.r_[np.sort(np.fromiter(begin.values(), np.int64, len(begin))), len(cell)]
-    residual = np.concatenate(books.books[1:]).T
-    base = np.cumsum([0, *(len(b) for b in books.books[1:-1])])
-    for at in range(0, len(queries["id"]), 4096):
-        part = slice(at, at + 4096)
-        q, probes, name = queries["vec"][part], queries["probes"][part], queries["id"][part]
-        q32 = q.astype(np.float32)
-        tables = q32 @ residual
+    order = np.argsort(-level, axis=1, kind="stable")
+    level, probe = np.take_along_axis(level, order, 1), np.take_along_axis(probe, order, 1)
+    return np.where(level >= level[:, :1] - margin, probe, -1)
+
+
+class Index:
+    """The rows of a region, to be searched: ids in order, unit vectors, the codes of books that these rows train."""
+
+    def __init__(self, ids: np.ndarray, vec: np.ndarray, s: Settings):
+        n = len(ids)
+        self.s, self.ids, self.vec, self.books = s, np.r_[ids, np.array([None], object)], np.r_[vec, np.zeros((1, vec.shape[1]))], None
+        if n <= s.rerank:  # all are reranked
+            return
+        x = vec.astype(np.float32)
+        cells = max(1, round(n / s.row_cell))
+        told = min(n, max(s.local, 16 * cells))
+        self.books = Books.train(x[np.arange(told) * n // told], cells, s)
+        codes = self.books.encode(x)
+        self.scale = (1 / np.maximum(np.linalg.norm(self.books.sums(codes), axis=1), 1e-6)).astype(np.float32)
+        self.order = np.argsort(codes[:, 0], kind="stable")
+        self.begin = np.searchsorted(codes[self.order, 0], np.arange(cells + 1))
+        sizes = [len(b) for b in self.books.books[1:]]
+        self.codes = codes[:, 1:] + np.cumsum([0, *sizes[:-1]])
+
+    def candidates(self, q: np.ndarray, share: int) -> np.ndarray:
+        """The rows of each query (float32) that are to be compared exactly; the last, empty one fills up. share: see ``search``."""
+        s, none = self.s, len(self.ids) - 1
+        if self.books is None:
+            return np.arange(none)[None].repeat(len(q), 0)
+        first, residual = self.books.books[0], np.concatenate(self.books.books[1:]).T
+        probes, tables = _probes(q, first, max(1, s.probes // share), s.margin), q @ residual
         width = probes.shape[1] * s.cell_best
-        found = np.full((len(q), width), -1, np.int64)
+        found = np.full((len(q), width), none, np.int64)
         score = np.full((len(q), width), -np.inf, np.float32)
-        flat_cell = probes.ravel()
-        by_cell = np.argsort(flat_cell, kind="stable")
-        sorted_cell = flat_cell[by_cell]
-        first = np.flatnonzero(np.r_[True, sorted_cell[1:] != sorted_cell[:-1]]) if len(sorted_cell) else np.zeros(0, int)
-        for a, b in zip(first, np.r_[first[1:], len(sorted_cell)]):
-            c = int(sorted_cell[a])
-            if c < 0 or c not in begin:
+        by_cell = np.argsort(probes.ravel(), kind="stable")
+        ends = np.searchsorted(probes.ravel()[by_cell], np.arange(len(first) + 1))
+        for c in range(len(first)):
+            members = self.order[self.begin[c] : self.begin[c + 1]]
+            who, slot = np.divmod(by_cell[ends[c] : ends[c + 1]], probes.shape[1])
+            if not len(who) or not len(members):
                 continue
-            lo = begin[c]
-            members = order[lo : ends[np.searchsorted(ends, lo, "right")]]
-            who, slot = np.divmod(by_cell[a:b], probes.shape[1])
-            near = (q32[who] @ books.books[0][c // books.sub])[:, None].repeat(len(members), 1)
-            own = tables[who]
-            for m in range(len(books.books) - 1):
-                near += own[:, base[m] + codes[members, m + 1]]
-            near *= scale[members]
+            # the tables by entry: a code takes whole rows of them
+            own = np.ascontiguousarray(tables[who].T)
+            near = (q[who] @ first[c])[None].repeat(len(members), 0)
+            for m in range(self.codes.shape[1]):
+                near += own[self.codes[members, m]]
+            near = (near * self.scale[members][:, None]).T
             keep = min(s.cell_best, len(members))
             best = np.argpartition(-near, keep - 1, axis=1)[:, :keep] if keep < len(members) else np.arange(keep)[None].repeat(len(who), 0)
             place = slot[:, None] * s.cell_best + np.arange(keep)
             found[who[:, None], place] = members[best]
             score[who[:, None], place] = np.take_along_axis(near, best, 1)
-        if width > s.rerank:
-            best = np.argpartition(-score, s.rerank - 1, axis=1)[:, : s.rerank]
+        if width > (most := max(1, s.rerank // share)):
+            best = np.argpartition(-score, most - 1, axis=1)[:, :most]
             found = np.take_along_axis(found, best, 1)
-        for lo in range(0, len(q), 512):
-            f = found[lo : lo + 512]
-            cos = np.einsum("qd,qcd->qc", q[lo : lo + 512], vec[f])
-            me = name[lo : lo + 512]
-            cos[(f < 0) | (ids[f] == me[:, None])] = -np.inf
-            # ties: the smaller id; rows are in the order of their ids
-            f = np.where(f < 0, len(ids), f)
-            rank = np.lexsort((f, -cos), axis=1)[:, : k]
-            top = np.take_along_axis(cos, rank, 1)
-            ok = np.isfinite(top)
-            yield me[np.nonzero(ok)[0]], ids[np.take_along_axis(f, rank, 1)[ok]], top[ok]
+        return found
+
+    def search(self, names: np.ndarray, q: np.ndarray, k: int, share: int = 1):
+        """(query, neighbour, cosine) of queries by id and unit vector. share: by what to divide the probes and what is reranked."""
+        none = len(self.ids) - 1
+        for at in range(0, len(q), 4096):
+            found = self.candidates(q[at : at + 4096].astype(np.float32), share)
+            for lo in range(0, len(found), 512):
+                f, me = found[lo : lo + 512], names[at + lo : at + lo + 512]
+                cos = np.einsum("qd,qcd->qc", q[at + lo : at + lo + len(f)], self.vec[f])
+                cos[(f == none) | (self.ids[f] == me[:, None])] = -np.inf
+                least = -np.partition(-cos, k - 1, axis=1)[:, k - 1 : k] if cos.shape[1] > k else -np.inf
+                i, j = np.nonzero((cos >= least) & (cos > -np.inf))
+                # ties: the smaller id; rows are in the order of their ids
+                rank = np.lexsort((f[i, j], -cos[i, j], i))
+                i, j = i[rank], j[rank]
+                first = np.arange(len(i)) - np.searchsorted(i, i) < k
+                i, j = i[first], j[first]
+                yield me[i], self.ids[f[i, j]], cos[i, j]
 
 
 def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings()) -> DataFrame:
@@ -271,78 +273,69 @@ def neighbours(vectors: DataFrame, k: int = 10, settings: Settings = Settings())
     if not len(x):
         x = np.eye(1, d, dtype=np.float32)
     cells = int(max(1, min(s.most_cells, n // s.row_cell, len(x) // 8)))
-    sub = int(max(1, min(s.entries, round(n / (cells * s.row_cell))))) if cells > 1 else 1
-    books = Books.train(x, cells, s, sub)
-    region, slices = _regions(books, books.encode(x), n, s.region, np.random.default_rng(s.seed))
-    width = len(books.books)
-    shared = spark.sparkContext.broadcast((books, region, slices))  # a few MB: bounded by the settings
+    centres = kmeans(x, cells, np.random.default_rng(s.seed))
+    region, slices = _regions(centres, _probes(x, centres, 1, 0)[:, 0], n, s, np.random.default_rng(s.seed))
+    # a sample tells less of the borders of cells of many groups
+    wide = s.probes * (2 if round(n / (cells * s.row_cell)) > 1 else 1)
+    shared = spark.sparkContext.broadcast((centres, region, slices))  # a few hundred KB: bounded by the settings
 
     def route(batches):
-        books, region, slices = shared.value
+        centres, region, slices = shared.value
         start = np.cumsum(slices) - slices
-        lists = lambda m, kind: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel(), kind), m.shape[1]).cast(pa.list_(kind))
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 ids, slot = part.column(0), np.asarray(part.column(2))
-                v32 = _unit(_matrix(part.column(1), d)).astype(np.float32)
-                codes = books.encode(v32)
-                scale = 1 / np.maximum(np.linalg.norm(books.sums(codes), axis=1), 1e-6)
-                own = books.cell(codes)
-                probe = _probes(v32, books, own, s)
+                probe = _probes(_unit(_matrix(part.column(1), d)).astype(np.float32), centres, wide, s.margin)
+                home = region[probe[:, 0]]
                 # every region of a vector's cells once, and every slice of it
-                where = np.where(probe < 0, -1, region[probe])
-                ordered = np.sort(where, axis=1)
+                ordered = np.sort(np.where(probe < 0, -1, region[probe]), axis=1)
                 i, c = np.nonzero((ordered >= 0) & np.c_[np.ones(len(ordered), bool), ordered[:, 1:] != ordered[:, :-1]])
                 r = ordered[i, c]
                 times = slices[r]
                 rep = np.repeat(np.arange(len(r)), times)
                 t = np.arange(len(rep)) - np.repeat(np.cumsum(times) - times, times)
                 i, r, times = i[rep], r[rep], times[rep]
-                home = (r == region[own][i]) & (slot[i] % times == t)
-                mine = np.where(where[i] == r[:, None], probe[i], -1)
+                own = (r == home[i]) & (slot[i] % times == t)
                 take = pa.array(i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(start[r] + t, pa.int32()), pa.array(home), ids.take(take), part.column(1).take(take), lists(codes[i], pa.int16()), pa.array(scale[i], pa.float32()), lists(mine, pa.int32())],
-                    ["key", "own", "id", "embedding", "codes", "scale", "probes"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(start[r] + t, pa.int32()), pa.array(own), ids.take(take), part.column(1).take(take)], ["key", "own", "id", "embedding"])
 
     def search(batches):
-        books = shared.value[0]
-        now, parts = None, []
-
-        def finish(parts):
-            t = pa.Table.from_batches(parts).sort_by("id").combine_chunks()
-            own = np.asarray(t["own"])
-            vec = _unit(_matrix(t["embedding"].combine_chunks(), d))
-            codes = _matrix(t["codes"].combine_chunks(), width).astype(np.int64)
-            probe = _matrix(t["probes"].combine_chunks(), len(t["probes"][0])).astype(np.int64)
-            ids = np.array(t["id"].to_pylist(), object)
-            rows = {"id": np.r_[ids[own], np.array([None], object)], "vec": np.r_[vec[own], np.zeros((1, d))], "cell": books.cell(codes[own]), "codes": codes[own], "scale": np.asarray(t["scale"])[own]}
-            if not own.any():
-                return
-            for a, b, c in _search(rows, {"id": ids, "vec": vec, "probes": probe}, books, k, s):
+        now, rows, index = None, [], None
+
+        def answers(part, index, share=1):
+            for a, b, c in index.search(np.array(part.column("id").to_pylist(), object), _unit(_matrix(part.column("embedding"), d)), k, share):
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], ["id", "other", "cosine"])
 
+        def opened(rows):
+            t = pa.Table.from_batches(rows).sort_by("id").combine_chunks().to_batches()[0]
+            return t, Index(np.array(t.column("id").to_pylist(), object), _unit(_matrix(t.column("embedding"), d)), s)
+
         for b in batches:
-            key = np.asarray(b.column(0))
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            key, own = np.asarray(b.column(0)), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (own[1:] != own[:-1])) + 1).tolist(), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if lo == hi:
                     continue
-                if now is not None and now != key[lo]:
-                    yield from finish(parts)
-                    parts = []
-                now = key[lo]
-                parts.append(b.slice(lo, hi - lo))
-        if parts:
-            yield from finish(parts)
+                if rows and (key[lo] != now or not own[lo]):  # all rows are there; they are queries as well
+                    t, index = opened(rows)
+                    rows = []
+                    yield from answers(t, index)
+                if key[lo] != now:
+                    now, index = key[lo], None
+                if own[lo]:
+                    rows.append(b.slice(lo, hi - lo))
+                elif index is not None:
+                    yield from answers(b.slice(lo, hi - lo), index, 2)  # most of their neighbours are at home
+        if rows:
+            t, index = opened(rows)
+            yield from answers(t, index)
 
     kind = "array<float>" if "float" in base.schema["embedding"].dataType.simpleString() else "array<double>"
-    routed = indexed.select("id", "embedding", F.crc32("id").alias("slot")).mapInArrow(route, f"key int, own boolean, id string, embedding {kind}, codes array<smallint>, scale float, probes array<int>")
+    routed = indexed.select("id", "embedding", F.crc32("id").alias("slot")).mapInArrow(route, f"key int, own boolean, id string, embedding {kind}")
     # a region's slice per task while there are not too many: hashed, several would meet in one task and others stay idle
     tasks = int(min(slices.sum(), s.tasks))
-    found = routed.repartitionById(tasks, F.pmod("key", F.lit(tasks))).sortWithinPartitions("key").mapInArrow(search, "id string, other string, cosine double")
+    found = routed.repartitionById(tasks, F.pmod("key", F.lit(tasks))).sortWithinPartitions("key", F.desc("own")).mapInArrow(search, "id string, other string, cosine double")
     best = W.partitionBy("id").orderBy(F.desc("cosine"), "other")
     out = found.withColumn("_rn", F.row_number().over(best)).where(F.col("_rn") <= k).drop("_rn")
     return out.unionByName(rest) if rest is not None else out

@@ -53,6 +53,21 @@ def test_copies_and_unusable_vectors(spark):
     assert few == {("d0", "d1"), ("d1", "d0")}
 
 
+def test_neighbours_of_many_rows_and_few_samples(spark):
+    """Many small groups and a dense clump of few dimensions, of which the sample tells little: recall doesn't fall as they grow."""
+    rng = np.random.default_rng(7)
+    groups = np.repeat(rng.normal(size=(200, 24)), 20, axis=0) + rng.normal(size=(4000, 24)) * 0.25
+    clump = rng.normal(size=24) * 2 + rng.normal(size=(4000, 5)) @ rng.normal(size=(5, 24)) * 0.3
+    x = np.concatenate([groups, clump]).astype(np.float32)
+    ids = [f"v{i:04}" for i in range(8000)]
+    s = neighbours.Settings(dimensions=24, sample=200, row_cell=50, most_cells=8, region=1000, codebooks=2, entries=16, cell_best=40, rerank=80)
+    want, have = near_model(ids, x.astype(float), 10), {}
+    for r in neighbours.neighbours(frame(spark, ids, x), 10, s).collect():
+        have.setdefault(r.id, set()).add(r.other)
+    share = lambda own: sum(len(want[i] & have.get(i, set())) for i in own) / (10 * len(own))
+    assert share(ids[:4000]) > 0.9 and share(ids[4000:]) > 0.9
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(600, 12)).astype(np.float32)
