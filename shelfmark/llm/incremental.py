@@ -153,10 +153,10 @@ def additions(records: DataFrame) -> DataFrame:
     squeeze = lambda *c: F.xxhash64(*(F.replace(F.col(x), F.lit(" "), F.lit("")) if x != "all" else F.replace(F.concat("head", "tail"), F.lit(" "), F.lit("")) for x in c))
     told = records.where("name is not null")
     ends = told.where("phrase is not null").select("phrase", squeeze("name", "head").alias("k"))
-    whole = told.select(squeeze("name", "all").alias("k")).distinct().withColumn("hit", F.lit(1))
+    whole = told.select(squeeze("name", "all").alias("k"))
     # a phrase has to recur before its texts are looked up
     often = ends.groupBy("phrase").agg(F.count(F.lit(1)).alias("uses")).where(F.col("uses") >= SEEN)
-    found = ends.join(often, "phrase").join(whole, "k").groupBy("phrase").agg(F.count(F.lit(1)).alias("hits"), F.first("uses").alias("uses"))
+    found = ends.join(often, "phrase").join(whole, "k", "left_semi").groupBy("phrase").agg(F.count(F.lit(1)).alias("hits"), F.first("uses").alias("uses"))
     return stored(found.where((F.col("hits") >= SEEN) & (F.col("hits") >= SHARE * F.col("uses"))).select("phrase"))
 
 
@@ -169,19 +169,22 @@ def without_additions(records: DataFrame, added: DataFrame) -> DataFrame:
     return x.where("name is not null or page is not null")
 
 
-def heads(records: DataFrame) -> DataFrame:
+def heads(records: DataFrame, copies: bool = False) -> DataFrame:
     """(kind, key, text, batch, id, title, half_1, half_2, n): the keys of the first record of every text, and of every page (whose text is 0).
 
     Equal texts have equal keys, so copies fall together before their keys are made, in partial aggregations before each shuffle.
+    copies: the keys of every record, without a shuffle.
     """
     bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
     x = records.where("name is not null").select("batch", "id", "numbers", bare("name").alias("_t"), bare("desc").alias("_d"), "title", "half_1", "half_2", "n")
     x = x.select(F.xxhash64("_t", "_d").alias("text"), "batch", "id", F.substring("_t", 1, LETTERS).alias("k1"), F.substring("_d", 1, LETTERS).alias("k2"), F.reverse(F.substring("_d", -LETTERS, LETTERS)).alias("k3"), "numbers", "title", "half_1", "half_2", "n")
     rest = ["k1", "k2", "k3", "numbers", "title", "half_1", "half_2", "n"]
-    x = x.groupBy("text").agg(F.min(F.struct("batch", "id", *rest)).alias("x")).select("text", "x.*")
+    if not copies:
+        x = x.groupBy("text").agg(F.min(F.struct("batch", "id", *rest)).alias("x")).select("text", "x.*")
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.concat("numbers", f"k{k}").alias("key")) for k in (1, 2, 3))))
     texts = x.select(each.alias("k"), "text", "batch", "id", "title", "half_1", "half_2", "n").select("k.kind", "k.key", "text", "batch", "id", "title", "half_1", "half_2", "n")
-    pages = records.where("page is not null").groupBy("page").agg(F.min(F.struct("batch", "id")).alias("x"))
+    pages = records.where("page is not null").select("page", F.struct("batch", "id").alias("x"))
+    pages = pages if copies else pages.groupBy("page").agg(F.min("x").alias("x"))
     none = F.lit(None).cast("int")
     return texts.unionByName(pages.select(F.lit(0).alias("kind"), F.col("page").alias("key"), F.lit(0).cast("bigint").alias("text"), "x.batch", "x.id", *(none.alias(c) for c in ("title", "half_1", "half_2", "n"))))
 
@@ -201,6 +204,7 @@ class Runs:
     sizes: list[int] = field(default_factory=list)
     accepted: list[DataFrame] = field(default_factory=list)
     rows: int = 0
+    pending: DataFrame | None = None
 
     def at(self, keyed: DataFrame) -> DataFrame:
         """With the key range of each row: ranges of a kind are numbered on from those of the kind before. Limits are searched in two levels."""
@@ -257,6 +261,14 @@ class Runs:
             fs.delete(at, True)
 
 
+    def settle(self) -> None:
+        """What the last merge left to the next one: its records are stored among the accepted, its run is compacted."""
+        if self.pending is not None:
+            self.accepted.append(stored(self.pending))
+            self.pending = None
+        self.compact()
+
+
 def open_runs(history: DataFrame) -> Runs:
     """Runs that hold ``history`` (as by ``history_of``)."""
     spark = history.sparkSession
@@ -267,7 +279,7 @@ def open_runs(history: DataFrame) -> Runs:
     limits: list[list[str]] = [[] for _ in KINDS]
     keyed = heads(mine)
     if ranges > 1:
-        drawn = heads(mine.where(F.pmod(F.xxhash64("id"), F.lit(n)) < ranges * SAMPLED)).select("kind", "key").collect()
+        drawn = heads(mine.where(F.pmod(F.xxhash64("id"), F.lit(n)) < ranges * SAMPLED), copies=True).select("kind", "key").collect()
         for k in range(len(KINDS)):
             own = sorted({r["key"] for r in drawn if r["kind"] == k})
             limits[k] = sorted({own[len(own) * i // ranges] for i in range(1, ranges)}) if own else []
@@ -404,26 +416,28 @@ def resolve(links: DataFrame, canonical: DataFrame) -> DataFrame:
 def recognise(runs: Runs, incoming: DataFrame) -> DataFrame:
     """(canonical_id, id) of every new record of a dataset accepted before; the runs then hold the new records too.
 
+    What only a further call needs (compaction after the last merge, the new records' canonical ids) is left to it.
+
     ``incoming`` as by ``batch_of``; several batches may come at once. They are merged into the runs one after the other
     (small ones together, see ``merges``), each record is compared with what was accepted before it, in the order of
     (batch, id), and what the merges found is judged in one pass. A record whose id was accepted before is no duplicate
     of itself. Empty tables give no rows.
     """
-    fresh = stored(without_additions(incoming, runs.added))
+    runs.settle()
+    fresh, took = stored_counting(without_additions(incoming, runs.added), n=F.count(F.lit(1)))
     sizes = {"n": F.count_if(~F.col("page") & ~F.col("sure"))}
     part, seen = stored_counting(first_copies(fresh).withColumn("sure", F.lit(True)), **sizes)
     parts, open_ = [part], seen["n"]
-    for first, last in merges(fresh, runs.rows):
+    for at, (first, last) in enumerate(merges(fresh, runs.rows)):
+        if at:
+            runs.compact()
         name = runs.add(runs.at(heads(fresh.where(F.col("batch").between(first, last)))))
         part, seen = stored_counting(window_pairs(runs, name), **sizes)
         parts, open_ = [*parts, part], open_ + seen["n"]
-        runs.compact()
     known = reduce(DataFrame.unionByName, [a.select("id", "canonical_id") for a in runs.accepted])
     found = resolve(checked(reduce(DataFrame.unionByName, parts), [*runs.accepted, fresh], open_ <= BROADCAST_ROWS), known)
-    mine = fresh.join(found.select("id", F.col("canonical_id").alias("_c")), "id", "left").withColumn("canonical_id", F.coalesce("_c", "id")).drop("_c")
-    mine, seen = stored_counting(mine, n=F.count(F.lit(1)))
-    runs.accepted.append(mine)
-    runs.rows += seen["n"]
+    runs.pending = fresh.join(found.select("id", F.col("canonical_id").alias("_c")), "id", "left").withColumn("canonical_id", F.coalesce("_c", "id")).drop("_c")
+    runs.rows += took["n"]
     return found
 
 

@@ -174,6 +174,17 @@ def test_extra_columns_with_clashing_names(spark):
     assert found_of(incremental.recognise(runs, batch(spark, [(1, "b", "a TALE of stone", "rocks and sand are listed here", None)]))) == {"b": "a"}
 
 
+def test_last_merge_leaves_its_upkeep_to_the_next(spark):
+    """One query's last batch neither compacts its runs nor stores its records; the next batch does, and finds them."""
+    runs = incremental.open_runs(history(spark, [("a", None, "A tale of stone", "Rocks and sand are listed here", None)]))
+    new = batch(spark, [(1, "b", "Survey of old wells", "Depth and water of wells are told", None)])
+    assert found_of(incremental.recognise(runs, new)) == {} and len(runs.names) == 2 and len(runs.accepted) == 1 and runs.rows == 2
+    again = batch(spark, [(2, "c", "Survey of old wells", "Depth and water of wells are told", None), (2, "d", "A tale of stone", "Rocks and sand are listed here", None)])
+    assert found_of(incremental.recognise(runs, again)) == {"c": "b", "d": "a"} and len(runs.accepted) == 2 and runs.rows == 4
+    runs.settle()
+    assert len(runs.names) == 1 and len(runs.accepted) == 3
+
+
 def test_merges():
     class Rows(list):
         groupBy = count = orderBy = lambda self, *_: self
