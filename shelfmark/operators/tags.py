@@ -17,6 +17,8 @@ from shelfmark.plugins import Chooser, Encoder, encoded, first_candidates, hashi
 
 #: Tags up to which a vocabulary counts as small and is broadcast; checked where it matters.
 SMALL = 5000
+#: Scores that are ranked at a time.
+BLOCK = 1 << 18
 #: The head words of phrases.
 TASKS = ("recognition", "detection", "classification", "generation", "analysis", "processing")
 FIELDS = ("natural", "computer", "machine", "deep")
@@ -190,25 +192,34 @@ def known_tags(records: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def record_ranks(matrix: DataFrame, nodes: DataFrame, seeds: DataFrame, p: Tagging = TAGGING, top: int | None = None) -> DataFrame:
     """(id, node, score, rank): ``pagerank`` of every id's seeds (id, node) over a graph of a checked size (node); only the best of an id with ``top``.
 
-    Each set of seeds is ranked once. Scores of 0 are left out; ties go to the larger node.
+    An id stays one row, with its nodes and scores as lists, until the lists are unfolded at the very end: no rows of
+    scores are shuffled, and no join can take their table for a small one and broadcast it. Scores of 0 are left out;
+    ties go to the larger node.
     """
     names = sorted({r[0] for r in collect_small(nodes.select("node").distinct())})
     at = {n: i for i, n in enumerate(names)}
     edges = [(at[r[0]], at[r[1]], r[2]) for r in collect_small(matrix.select("src", "dst", "p"), SMALL * 40)]
     sets = seeds.groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("seeds"))
+    step = max(1, BLOCK // max(1, len(names)))
 
     def run(batches):
         spread = Spread(len(names), edges, p)
+        back = np.arange(len(names))[::-1]
         for b in batches:
-            for own in b.column(0).to_pylist():
-                score = spread.rows([at[n] for n in own]).mean(0)
-                best = np.lexsort((np.arange(len(names)), score.round(9)))[::-1][:top]
-                best = [i for i in best if score[i] > 0]
-                yield pa.RecordBatch.from_arrays([pa.array([own] * len(best), b.column(0).type), pa.array([names[i] for i in best], b.column(0).type.value_type), pa.array(score[best]), pa.array(np.arange(1, len(best) + 1, dtype=np.int32))], ["seeds", "node", "score", "rank"])
-
-    kind = sets.schema["seeds"].dataType.elementType.simpleString()
-    ranks = sets.select("seeds").distinct().mapInArrow(run, f"seeds array<{kind}>, node {kind}, score double, rank int")
-    return sets.join(ranks, "seeds").select("id", "node", "score", "rank")
+            kind = b.column(1).type.value_type
+            called = pa.array(names, kind)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                score = np.array([spread.rows([at[n] for n in own]).mean(0) for own in part.column(1).to_pylist()])
+                best = back[np.argsort(-score[:, back].round(9), axis=1, kind="stable")][:, :top]
+                score = np.take_along_axis(score, best, 1)
+                some = score > 0
+                ends = pa.array(np.concatenate([[0], some.sum(1).cumsum()]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, called.take(pa.array(best[some]))), pa.ListArray.from_arrays(ends, pa.array(score[some]))], ["id", "nodes", "scores"])
+
+    own, kind = (sets.schema[c].dataType.simpleString() for c in ("id", "seeds"))
+    ranks = sets.mapInArrow(run, f"id {own}, nodes {kind}, scores array<double>")
+    return ranks.select("id", F.posexplode("nodes").alias("_at", "node"), "scores").select("id", "node", F.col("scores")[F.col("_at")].alias("score"), (F.col("_at") + 1).alias("rank"))
 
 
 def synonyms(vectors: list[tuple[str, np.ndarray]], p: Tagging = TAGGING) -> dict[str, str]:

@@ -197,3 +197,22 @@ def test_stores(spark, tmp_path):
     x = readers.catalogue(spark, str(tmp_path / "d.json"), "json")
     assert sorted(r.id for r in x.collect()) == ["7", "k1"]
     assert readers.by_ids(x, spark.createDataFrame([("7",), ("7",), (None,)], "id string")).count() == 1 and readers.seed(x, 1).first().id == "7"
+
+
+def test_ranks_of_records_are_neither_shuffled_nor_broadcast(spark):
+    v = spark.createDataFrame([(i, f"tag {i}") for i in range(40)], "tag_id int, tag_name string")
+    r = spark.createDataFrame([(f"r{i:02}", [f"tag {i % 40}", f"tag {i * 7 % 40}"]) for i in range(60)], "id string, tags array<string>")
+    nodes, seeds = v.select(F.col("tag_id").alias("node")), tags.known_tags(r, v)
+    m = tags.adjacency(spark.createDataFrame([(i, (i * 3 + 1) % 40, 1.0 + i % 5) for i in range(40)], "src int, dst int, weight double"), nodes)
+    got = tags.record_ranks(m, nodes, seeds)
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")] and "Join" not in plan[: plan.index("MapInArrow")]
+    want = {(x.id, x.node): x.score for x in tags.pagerank(m, seeds).collect() if x.score > 0}
+    assert {(x.id, x.node) for x in rows} == set(want) and all(abs(x.score - want[x.id, x.node]) < 1e-9 for x in rows)
+    best = {}
+    for x in sorted(rows, key=lambda x: (x.id, x.rank)):
+        best.setdefault(x.id, []).append((-round(x.score, 9), -x.node))
+    assert all(b == sorted(b) for b in best.values())
+    few = {(x.id, x.node, x.rank) for x in tags.record_ranks(m, nodes, seeds, top=3).collect()}
+    assert few == {(x.id, x.node, x.rank) for x in rows if x.rank <= 3}
