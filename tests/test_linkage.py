@@ -123,3 +123,54 @@ def test_projection_signatures(spark):
     assert got["a"] == got["b"] != got["c"] and got["d"] == got["e"] == 65535
     w = blocking.tfidf(t).groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("w")), 9)).collect()
     assert {r[1] for r in w} == {1.0}
+
+
+def marks_of(spark, n, size, noise, seed):
+    """(table of marks, pairs of bucket mates that agree): groups of vectors, some loose ones, one dense clump, few fingerprints."""
+    rng = np.random.default_rng(seed)
+    v = np.repeat(rng.normal(size=(n // size, 16)), size, axis=0) + rng.normal(size=(n, 16)) * noise
+    v[: n // 10] = v[0] + rng.normal(size=(n // 10, 16)) * 0.02
+    v[-n // 10 :] = rng.normal(size=(n // 10, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    fp = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, n)]
+    for i in range(0, n, 3):
+        fp[i] = (fp[i] & ~0xFF) | 7
+    sig, ids = [int(x) for x in rng.integers(0, 30, n)], [f"r{(i * 7919) % 99991:05}" for i in range(n)]
+    share = lambda a, b: any((a >> k) & 255 == (b >> k) & 255 for k in range(0, 64, 8))
+    pairs = [(ids[i], ids[j]) for i, j in np.argwhere(np.tril(v @ v.T >= 0.82, -1)) if sig[i] == sig[j] or share(fp[i], fp[j])]
+    return spark.createDataFrame([(i, [float(x) for x in row], f, s) for i, row, f, s in zip(ids, v, fp, sig)], "id string, v array<double>, simhash bigint, signature int"), pairs
+
+
+def test_cells_find_all_that_agree(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "CELL_TILE", 16)
+    marks, pairs = marks_of(spark, 600, 8, 0.3, 4)
+    want = closure(pairs)
+    assert len(want) > 150 and dict(components(blocking.exact_links(marks)).collect()) == want
+    monkeypatch.setattr(blocking, "CENTRES", 20)  # fewer centres than groups: wide cells, no pair less
+    assert dict(components(blocking.exact_links(marks)).collect()) == want
+    assert blocking.exact_links(marks.limit(0)).collect() == []
+
+
+def test_bucket_links_send_a_vector_to_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(blocking, "TILE", 64)
+    marks, pairs = marks_of(spark, 1200, 6, 0.1, 5)
+    sent, repartition = [], type(marks).repartition
+    monkeypatch.setattr(type(marks), "repartition", lambda x, *keys: sent.append(x) or repartition(x, *keys))
+    monkeypatch.setattr(dedup, "fingerprinted", lambda *_: marks, raising=False)
+    monkeypatch.setattr(dedup, "simhash_buckets", lambda *_: marks.select(F.explode(blocking.band_keys(F.col("simhash"))).alias("bucket"), "id"), raising=False)
+    monkeypatch.setattr(dedup, "lsh_buckets", lambda *_: marks.select(F.concat(F.lit("lsh:"), F.col("signature").cast("string")).alias("bucket"), "id"), raising=False)
+    none = spark.createDataFrame([], "id string, text string")
+    assert dict(components(dedup.bucket_links(none, marks.select("id", "v"))).collect()) == closure(pairs)
+    assert len(sent) == 1 and sent[0].count() < 3 * marks.count()
+
+
+def test_words_are_marked_in_one_pass(spark):
+    rng = random.Random(2)
+    pool = ["red", "green", "blue", "x", "ÉCOLE", "数据", "a_b", "42", "7", "e\u0301t"]
+    rows = [(f"r{i:02}", " ".join(rng.choice(pool) for _ in range(rng.randrange(1, 30)))) for i in range(60)] + [("s", None), ("t", ""), ("u", "--"), ("v", "x 7")]
+    texts = spark.createDataFrame(rows, "id string, text string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.5]) for i, _ in rows[5:]] + [("gone", [1.0, 1.0])], "id string, v array<float>")
+    for p in (Dedup(), Dedup(max_features=4)):
+        want = {r.id: (r.simhash, r.signature) for r in blocking.simhash(texts, "id", "text").join(blocking.lsh_signatures(texts, p), "id").collect()}
+        got = {r.id: (r.simhash, r.signature, r.v) for r in blocking.fingerprinted(texts, vectors, p).collect()}
+        assert got == {i: (*want[i], [1.0, 0.5]) for i, _ in rows[5:]} and want["s"][0] == 0 and want["u"][0] == -1
